@@ -33,7 +33,9 @@ BINS = 20
 def _covered(w: Column) -> Column:
     """Words in WINDOW-word windows that the text has twice or more. Windows are compared by 64-bit hashes."""
     n = F.size(w)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(g, i + k) for k in range(WINDOW)]))
 
     def places(h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -46,7 +48,10 @@ def _covered(w: Column) -> Column:
 
         return let(let(ordered, twice), total)
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(places(h)))
+    def count(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(places(h))
+
+    return F.when(n < WINDOW, F.lit(0)).otherwise(let(let(F.transform(w, lambda x: F.xxhash64(x)), windows), count))
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,14 +66,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in new]
     out = docs.select(
         *kept,
-        let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _covered(w).cast("long").alias("r"))).alias("__w"),
-        F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
+        let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _covered(w).cast("long").alias("r"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("c"))).alias("__w"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("__l"),
     )
     n, r = F.col("__w.n"), F.col("__w.r")
     return out.select(
-        *kept, n.alias("n_words"), "word_chars", "n_symbols", F.col("__l.d").alias("n_dup_lines"), r.alias("n_repeat_words"), F.col("__l.n").alias("n_word_lines"),
+        *kept, n.alias("n_words"), F.col("__w.c").alias("word_chars"), "n_symbols", F.col("__l.d").alias("n_dup_lines"), r.alias("n_repeat_words"), F.col("__l.n").alias("n_word_lines"),
         ((n < 10) | (100 * r > 20 * n)).alias("base_failed"),
     )
 
