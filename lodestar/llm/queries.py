@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,3 +22,50 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = assess_ids(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.minhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name.startswith("op")}
+
+
+SQL: dict[str, str] = {}
+
+SQL["op1_line_dedup"] = """
+WITH l AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     u AS (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS line FROM l),
+     c AS (SELECT source, line, count(*) AS n FROM u GROUP BY ALL),
+     t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+     b AS (SELECT c.source, list(line) AS marks FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+           WHERE n >= 3 AND n > 0.1::DOUBLE * total GROUP BY c.source),
+     k AS (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(marks, []), x)) AS kept
+           FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+       CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text
+FROM k
+"""
+
+SQL["op10_minhash_near_dedup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT a.doc_id, b.doc_id AS other, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) a
+  JOIN n x ON x.doc_id = a.doc_id JOIN n b ON b.doc_id = a.other WHERE 100 * common >= 85 * (x.n + b.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
