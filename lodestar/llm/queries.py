@@ -17,6 +17,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(_documents(spark, sf_dir).select("doc_id", "source", "text"), "source").select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.mixing import Mix, sized
+
+    rows = sized(_documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "source", "__size", "__source", "__key")
+    m = Mix(rows, light=True)
+    taken = m.taken().groupBy("__source", "__start").agg(F.sum("words").alias("taken"))
+    # rows without words share their start with the next row
+    taken = taken.select(F.col("__source").alias("__s"), F.col("__start").alias("__at"), "taken")
+    out = m.placed.join(taken, (F.col("__source") == F.col("__s")) & (F.col("__start") == F.col("__at")) & (F.col("__size") > 0), "left")
+    out = out.select("doc_id", F.col("__size").alias("size"), F.col("__source").alias("__s"), F.coalesce("taken", F.lit(0)).alias("taken"))
+    per = m.sources.select(F.col("__source").alias("__s"), F.col("size").alias("source_size"), "target")
+    return out.join(per, "__s").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.quality import assess_ids
 
@@ -24,6 +40,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.topk import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.minhash import near_duplicates
 
@@ -50,6 +73,29 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT A
 FROM k
 """
 
+SQL["op3_mixing"] = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, row_number() OVER (ORDER BY n / w, source) AS i FROM s),
+l AS (SELECT rest, ws FROM o WHERE NOT 3 * n * ws < w * rest ORDER BY i LIMIT 1),
+t AS (SELECT o.source, o.n, CASE WHEN 3 * o.n * o.ws < o.w * o.rest THEN (3 * o.n)::DOUBLE ELSE (o.w * l.rest)::DOUBLE / l.ws::DOUBLE END AS target FROM o LEFT JOIN l ON true),
+p AS (SELECT d.*, t.n, t.target, round(t.target)::BIGINT AS words,
+             sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       (CASE WHEN n = 0 THEN 0 ELSE words // n * size + least(greatest(words % n - start, 0), size) END)::BIGINT AS taken
+FROM p
+"""
+
+SQL["op9_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 SQL["op10_minhash_near_dedup"] = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
