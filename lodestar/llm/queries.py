@@ -41,6 +41,41 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _url_list(pages: DataFrame) -> DataFrame:
+    """A dated list made by rule from the pages' hosts: hashes of a domain choose whether and when it is listed and freed."""
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.url_filter import host_of, suffixes
+
+    domains = pages.select(F.explode(F.slice(suffixes(host_of(F.col("url"))), 1, 2)).alias("domain")).filter(F.size(F.split("domain", r"\.")) >= 3).distinct()
+    h = lambda a, b: F.conv(F.substring(F.md5("domain"), a, b), 16, 10).cast("long")
+    start = F.lit(1704067200) + h(2, 4) * 240
+    events = F.array(
+        F.struct(F.lit(True).alias("listed"), F.timestamp_seconds(start).alias("at")),
+        F.struct(F.lit(False).alias("listed"), F.timestamp_seconds(start + h(6, 3) * 3600).alias("at")),
+        F.struct(F.lit(True).alias("listed"), F.timestamp_seconds(start + h(6, 3) * 3600 + h(9, 3) * 3600).alias("at")),
+    )
+    return domains.filter(h(1, 1) < 6).select("domain", F.explode(events).alias("e")).select("domain", "e.listed", "e.at")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.url_filter import judge
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    # captures have no time of their own: minutes of a year by their id
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(525600)) * 60))
+    out = judge(captures, _url_list(pages))
+    return out.select("page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "blocked", "blocked_by")
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.sentence_spans import remove_repeated
+
+    return remove_repeated(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.quality import assess_ids
 
@@ -96,6 +131,31 @@ SELECT doc_id, size, n AS source_size, target,
 FROM p
 """
 
+SQL["op5_url_filters"] = """
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+                  1704067200 + (page_id * 7919 % 525600) * 60 AS t FROM pages),
+h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL),
+x AS (SELECT host, unnest(CASE WHEN len(l) < 2 THEN [host] ELSE list_transform(range(1, greatest(len(l), 2)), lambda i: array_to_string(l[i:], '.')) END) AS domain,
+             unnest(range(1, greatest(len(l), 2))) AS i FROM h),
+d AS (SELECT DISTINCT domain, md5(domain) AS m FROM x WHERE i <= 2 AND len(string_split(domain, '.')) >= 3),
+n AS (SELECT domain, 1704067200 + ('0x' || m[2:5])::BIGINT * 240 AS a, ('0x' || m[6:8])::BIGINT * 3600 AS b, ('0x' || m[9:11])::BIGINT * 3600 AS c
+      FROM d WHERE ('0x' || m[1:1])::BIGINT < 6),
+e AS (SELECT domain, t, bool_or(on_) AS on_ FROM (SELECT domain, a AS t, true AS on_ FROM n UNION ALL SELECT domain, a + b, false FROM n UNION ALL SELECT domain, a + b + c, true FROM n) GROUP BY ALL),
+v AS (SELECT domain, on_, t AS f, lead(t) OVER (PARTITION BY domain ORDER BY t) AS u FROM e),
+b AS (SELECT p.page_id, max_by(x.domain, len(x.domain)) AS blocked_by FROM p JOIN x ON p.host = x.host JOIN v ON v.domain = x.domain AND v.on_ AND p.t >= v.f AND (v.u IS NULL OR p.t < v.u) GROUP BY p.page_id)
+SELECT p.page_id, host, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS fetched_at, blocked_by IS NOT NULL AS blocked, blocked_by
+FROM p LEFT JOIN b USING (page_id)
+"""
+
+SQL["op6_sentence_spans"] = """
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents),
+r AS (SELECT doc_id, unnest(range(0, len(s) - 2)) AS i, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i:i + 2])) AS run FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM r),
+g AS (SELECT doc_id, list_distinct(flatten(list([i + 1, i + 2, i + 3]))) AS gone FROM f WHERE n > 1 GROUP BY doc_id),
+k AS (SELECT d.doc_id, s, coalesce(gone, []) AS gone, list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(s)::BIGINT AS n_sentences, (len(s) - len(kept))::BIGINT AS n_removed, array_to_string(kept, ' ') AS text FROM k
+"""
+
 SQL["op9_exact_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
