@@ -76,6 +76,12 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pii import digest, find
+
+    return digest(find(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.quality import assess_ids
 
