@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words encoded by one query; pieces that are kept in a generation; bytes of text that are worked on together.
 CHUNK, KEPT, GROUP = 8000, 200_000, 2 << 20
@@ -42,6 +42,14 @@ SELECT w, pos, tok FROM s WHERE done
 _DECODE = "SELECT w, list(tok ORDER BY pos) AS ids, string_agg(b, '' ORDER BY pos) AS b FROM ({}) JOIN vocabulary v ON v.id = tok GROUP BY w ORDER BY w"
 
 
+#: An encoded piece: ids joined by blanks, their number, the decoded bytes, and the ids as 32-bit numbers.
+Piece = tuple[str, int, bytes, bytes]
+
+
+def _piece(ids: list[int], decoded: bytes) -> Piece:
+    return " ".join(map(str, ids)), len(ids), decoded, np.array(ids, np.int32).tobytes()
+
+
 class Codec:
     """The merge table and vocabulary of a rank file in a DuckDB database, and the pieces that were encoded last."""
 
@@ -57,10 +65,10 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows_")
         rows_ = pa.table({"id": pa.array(list(self.bytes), pa.int32()), "b": [x.hex() for x in self.bytes.values()]})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows_")
-        self.young: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        self.young: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
 
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, tuple[str, int, bytes]]]:
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, Piece]]:
         for i in range(0, len(words), CHUNK):
             part = words[i : i + CHUNK]
             raw = [w.encode() for w in part]
@@ -69,7 +77,7 @@ class Codec:
             init = pa.table({"w": w, "pos": np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), "tok": self.byte[np.frombuffer(b"".join(raw), np.uint8)]})
             self.db.register("init", init)
             for w, ids, b in self.db.execute(_DECODE.format(_ENCODE)).fetchall():
-                yield part[w], (" ".join(map(str, ids)), len(ids), bytes.fromhex(b))
+                yield part[w], _piece(ids, bytes.fromhex(b))
 
     def _merge(self, word: bytes) -> list[int]:
         """The merges of one long word: a heap of (rank, place) gives the leftmost pair of least rank."""
@@ -105,13 +113,13 @@ class Codec:
                     self.young[p] = known
                 elif len(p) > LONG // 4 and len(raw := p.encode()) > LONG:
                     ids = self._merge(raw)
-                    self.young[p] = (" ".join(map(str, ids)), len(ids), b"".join(self.bytes[i] for i in ids))
+                    self.young[p] = _piece(ids, b"".join(self.bytes[i] for i in ids))
                 else:
                     new.append(p)
         self.young.update(self._encode(new))
 
-    def encode(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """For each text its encoded pieces: (ids joined by spaces, their number, decoded bytes)."""
+    def encode(self, texts: Iterable[str]) -> Iterator[list[Piece]]:
+        """For each text its encoded pieces."""
         held: list[list[str]] = []
         size = 0
         for text in [*texts, None]:
@@ -146,6 +154,11 @@ def _texts(batch: pa.RecordBatch, text: str) -> list[str]:
     return [x or "" for x in batch.column(text).to_pylist()]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with ``ids``, the tokens of each whole text, in place of the text.
 
@@ -158,11 +171,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = [[int(i) for e in x for i in e[0].split()] for x in c.encode(_texts(batch, text))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
+            ids = _lists([b"".join([e[3] for e in x]) for x in c.encode(_texts(batch, text))])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], ids], [*kept, "ids"])
 
-    schema = docs.select(*kept).schema.add("ids", "array<int>")
-    return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
+    schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select(*kept, text).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -175,21 +188,26 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
             out = c.decode([x or [] for x in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out, pa.binary())], [*kept, "bytes"])
 
-    return rows.select(*kept, F.col(ids)).mapInArrow(run, rows.select(*kept).schema.add("bytes", "binary"))
+    return rows.select(*kept, ids).mapInArrow(run, rows.select(*kept).schema.add("bytes", "binary"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of encode and decode, without moving the ids out of the worker."""
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The ``keep`` columns, ``n_tokens, ids_sha256, decoded_sha256`` and, if wanted, ``ids``: encode, decode and hash in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            n, ids, back = [], [], []
+            n, ids, back, raw = [], [], [], []
             for x in c.encode(_texts(batch, text)):
                 n.append(sum([e[1] for e in x]))
                 ids.append(hashlib.sha256(" ".join([e[0] for e in x]).encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join([e[2] for e in x])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.select(key, F.col(text)).mapInArrow(run, schema)
+                if with_ids:
+                    raw.append(b"".join([e[3] for e in x]))
+            columns = [*[batch.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [_lists(raw)] * with_ids, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

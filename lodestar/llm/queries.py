@@ -17,6 +17,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(_documents(spark, sf_dir).select("doc_id", "source", "text"), "source").select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -102,8 +108,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
 
 
 SQL: dict[str, str] = {}
