@@ -1,19 +1,327 @@
-"""The registered queries of the vector engine and their SQL."""
+"""The registered queries of the vector engine and their SQL, on the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions.metrics import euclidean_normalized, get_metric, list_metrics, minkowski
+from lodestar.functions.vectors import is_normalized, norm, normalize
+from lodestar.operators import chunking, dml, search, stats
+from lodestar.operators.filters import And, Field, Not, Or, where
+from lodestar.operators.index import IVFIndex, IVFPQIndex, PQIndex
+from lodestar.plans.query import Executor, parse_string
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _seed(df: DataFrame, value: int = 0) -> list[float]:
+    return list(df.filter(F.col("id") == value).select("vector").first()[0])
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    """The ten nearest neighbours of vector 0 among labels below 5."""
+    df = _vectors(spark, sf_dir)
+    return _named(search.knn(df, _seed(df), 10, "euclidean", {"label": {"$lt": 5}}))
+
+
+# distances of the neighbours of vector 0, under each metric; vectors are scaled by their ids so that metrics differ
+
+_SCALED = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS v FROM embeddings"
+_PAIR = "list_transform(list_zip(s.v, q.v), lambda x: {})"
+_FORMS = {
+    "euclidean": "sqrt(list_sum(" + _PAIR.format("(x[1] - x[2]) * (x[1] - x[2])") + "))",
+    "euclidean_squared": "list_sum(" + _PAIR.format("(x[1] - x[2]) * (x[1] - x[2])") + ")",
+    "cosine": "1 - list_cosine_similarity(s.v, q.v)",
+    "dot": "-list_inner_product(s.v, q.v)",
+    "manhattan": "list_sum(" + _PAIR.format("abs(x[1] - x[2])") + ")",
+    "chebyshev": "list_max(" + _PAIR.format("abs(x[1] - x[2])") + ")",
+    "hamming": "list_sum(" + _PAIR.format("CASE WHEN sign(x[1]) <> sign(x[2]) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END") + ")",
+    "angular": "acos(greatest(-1, least(1, round(list_cosine_similarity(s.v, q.v), 12))))",
+    "minkowski3": "pow(list_sum(" + _PAIR.format("pow(abs(x[1] - x[2]), 3)") + "), 1.0 / 3)",
+}
+
+
+def _scaled(spark: SparkSession, sf_dir: str, signs: bool = False) -> DataFrame:
+    v = F.transform("vector", lambda x: x.cast("double") * (1 + F.col("id") % 7))
+    return _vectors(spark, sf_dir).withColumn("vector", F.transform(v, lambda x: F.signum(x)) if signs else v)
+
+
+def _metric_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _scaled(spark, sf_dir, name == "hamming")
+        metric = minkowski(3) if name == "minkowski3" else get_metric(name)
+        found = search.knn(df.filter("id <> 0"), _seed(df), 10, metric)
+        return _named(found)
+
+    return run
+
+
+for _name in [*list_metrics(), "minkowski3"]:
+    _add(f"knn_{_name}", _metric_query(_name), f"WITH s AS ({_SCALED}), q AS (SELECT v FROM s WHERE vec_id = 0) SELECT s.vec_id, round({_FORMS[_name]}, 6) AS distance FROM s, q WHERE s.vec_id <> 0 ORDER BY {_FORMS[_name]}, s.vec_id LIMIT 10")
+
+_L2 = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))"
+
+
+def _knn(filter: Any) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _vectors(spark, sf_dir)
+        return _named(search.knn(df, _seed(df), 10, "euclidean", filter))
+
+    return run
+
+
+def _knn_sql(condition: str, k: int = 10) -> str:
+    return f"SELECT a.vec_id, round({_L2}, 6) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE {condition} ORDER BY {_L2}, a.vec_id LIMIT {k}"
+
+
+_add("knn_filtered_eq", _knn({"label": 3}), _knn_sql("label = 3"))
+_add("knn_filtered_in", _knn({"label": {"$in": [1, 4, 7]}}), _knn_sql("label IN (1, 4, 7)"))
+_add("knn_filtered_range", _knn({"label": {"$gte": 2, "$lte": 5}, "$not": {"label": 4}}), _knn_sql("label BETWEEN 2 AND 5 AND label <> 4"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    found = search.knn(df.filter("id <> 0"), _seed(df), 10)
+    return found.select(F.col("id").alias("vec_id"), F.round(search.relative_score(), 6).alias("relative"), F.round(search.inverse_score(), 6).alias("inverse"))
+
+
+_add("knn_scores", _scores, f"WITH n AS (SELECT a.vec_id, {_L2} AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE a.vec_id <> 0 ORDER BY d, a.vec_id LIMIT 10) SELECT vec_id, round(1 - d / (max(d) OVER () + 1e-8::DOUBLE), 6) AS relative, round(1 / (1 + d), 6) AS inverse FROM n")
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    found = search.knn_batch(df, df.filter("id % 25 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+def _ranked_sql(where_: str, k: int) -> str:
+    return f"WITH n AS (SELECT b.vec_id AS query_id, a.vec_id, {_L2} AS d FROM embeddings a, embeddings b WHERE {where_}), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank, vec_id, round(d, 6) AS distance FROM n) SELECT * FROM r WHERE rank <= {k}"
+
+
+_add("knn_batch", _batch, _ranked_sql("b.vec_id % 25 = 0", 10))
+_add("knn_graph", lambda s, d: search.knn_graph(_vectors(s, d), 3).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance")), _ranked_sql("a.vec_id <> b.vec_id", 3))
+_add("knn_by_id", lambda s, d: _named(search.knn_by_id(_vectors(s, d), 0, 7)), _knn_sql("a.vec_id <> 0", 7))
+
+
+def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    return _named(search.range_search(df, _seed(df), 1.3))
+
+
+_add("range_search", _range, f"SELECT * FROM (SELECT a.vec_id, round({_L2}, 6) AS distance, {_L2} AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) WHERE d <= 1.3".replace("SELECT * FROM", "SELECT vec_id, distance FROM", 1))
+_add("duplicates_threshold", lambda s, d: search.duplicates(_vectors(s, d), 0.95).select("id1", "id2", F.round("distance", 6).alias("distance")), f"SELECT a.vec_id AS id1, b.vec_id AS id2, round({_L2}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_L2} <= 0.95")
+
+
+def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir).filter("id < 200")
+    m = search.distance_matrix(df, metric="manhattan")
+    return m.join(df.select(F.col("id").alias("query_id"), "label"), "query_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.max("distance"), 6).alias("largest"))
+
+
+_add("distance_matrix", _pairwise, "WITH m AS (SELECT b.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 200 AND b.vec_id < 200) SELECT label, count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM m GROUP BY label")
+
+
+def _centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = search.centroid(_vectors(spark, sf_dir), ["label"])
+    return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+
+
+_add("centroid_by_label", _centroid, "WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS pos FROM embeddings) SELECT label, pos, round(avg(x), 6) AS x FROM u GROUP BY label, pos")
+_add("medoid", lambda s, d: search.medoid(_vectors(s, d)).select(F.col("id").alias("vec_id"), F.round("total", 5).alias("total")), f"SELECT a.vec_id, round(sum({_L2}), 5) AS total FROM embeddings a, embeddings b GROUP BY a.vec_id ORDER BY sum({_L2}), a.vec_id LIMIT 1")
+
 
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _scaled(spark, sf_dir)
+    unit = normalize(F.col("vector"))
+    return df.select(F.col("id").alias("vec_id"), F.round(norm(F.col("vector")), 6).alias("norm"), is_normalized(F.col("vector")).alias("unit_before"), is_normalized(unit).alias("unit_after"), F.round(F.get(unit, F.lit(0)), 6).alias("first"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+_add("normalize", _norms, f"WITH s AS ({_SCALED}), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM s) SELECT vec_id, round(n, 6) AS norm, abs(n - 1) < 1e-6 AS unit_before, true AS unit_after, round(v[1] / n, 6) AS first FROM n")
+_add("euclidean_normalized", lambda s, d: _unit_distance(s, d), f"SELECT a.vec_id, round(sqrt(2 - 2 * greatest(-1, least(1, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))), 5) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE a.vec_id <> 0")
+
+
+def _unit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    q = search.literal(_seed(df))
+    return df.filter("id <> 0").select(F.col("id").alias("vec_id"), F.round(euclidean_normalized(F.col("vector"), q), 5).alias("distance"))
+
+
+# filters, on documents with their labels (missing for most), on parts, and on events with JSON
+
+_DOCS = "(SELECT d.doc_id, d.lang, d.source, d.text, d.n_chars, l.quality, l.toxic, [d.lang, d.source] AS tags FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    docs = _read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return docs.withColumn("tags", F.array("lang", "source")).withColumn("nested", F.struct(F.struct(F.col("quality").alias("value"), F.col("lang").alias("name")).alias("level1")))
+
+
+_CONDITIONS: dict[str, tuple[Any, str]] = {
+    "eq": (Field("lang", "eq", "fr"), "lang = 'fr'"),
+    "eq_null": (Field("quality", "eq", None), "quality IS NULL"),
+    "ne": (Field("quality", "ne", 1), "quality IS DISTINCT FROM 1"),
+    "gt": (Field("n_chars", "gt", 1000), "n_chars > 1000"),
+    "gte": (Field("quality", "gte", 1), "quality >= 1"),
+    "lt": (Field("n_chars", "lt", 1000), "n_chars < 1000"),
+    "lte": (Field("quality", "lte", 0), "quality <= 0"),
+    "gt_mismatch": (Field("lang", "gt", 5), "false"),
+    "between": (Field("n_chars", "between", [500, 1500]), "n_chars BETWEEN 500 AND 1500"),
+    "contains": (Field("text", "contains", "the "), "contains(text, 'the ')"),
+    "icontains": (Field("text", "icontains", "THE "), "contains(lower(text), 'the ')"),
+    "startswith": (Field("text", "startswith", "The"), "starts_with(text, 'The')"),
+    "endswith": (Field("text", "endswith", "."), "ends_with(text, '.')"),
+    "regex": (Field("source", "regex", "^src1[0-9]$"), "regexp_matches(source, '^src1[0-9]$')"),
+    "in": (Field("lang", "in", ["de", "es"]), "lang IN ('de', 'es')"),
+    "in_null": (Field("quality", "in", [0, None]), "quality = 0 OR quality IS NULL"),
+    "nin": (Field("quality", "nin", [0]), "quality IS DISTINCT FROM 0"),
+    "contains_any": (Field("tags", "contains_any", ["fr", "src3"]), "list_has_any(tags, ['fr', 'src3'])"),
+    "contains_all": (Field("tags", "contains_all", ["fr", "src3"]), "list_has_all(tags, ['fr', 'src3'])"),
+    "array_length": (Field("tags", "array_length", {"op": "gte", "value": 2}), "len(tags) >= 2"),
+    "exists": (Field("toxic", "exists", True), "toxic IS NOT NULL"),
+    "is_null": (Field("toxic", "is_null"), "toxic IS NULL"),
+    "is_not_null": (Field("toxic", "is_not_null"), "toxic IS NOT NULL"),
+    "type": (Field("quality", "type", "int"), "quality IS NOT NULL"),
+    "and": (And([Field("lang", "eq", "en"), Field("n_chars", "gt", 2000)]), "lang = 'en' AND n_chars > 2000"),
+    "or": (Or([Field("lang", "eq", "de"), Field("quality", "eq", 0)]), "lang = 'de' OR quality = 0"),
+    "not": (Not(Field("quality", "gt", 0)), "NOT coalesce(quality > 0, false)"),
+    "nested": ({"nested.level1.value": {"$gte": 1}, "nested.level1.name": "en"}, "quality >= 1 AND lang = 'en'"),
+    "missing_field": ({"nothing.here": {"$ne": 3}}, "true"),
+    "mongo": ({"$or": [{"lang": "es"}, {"n_chars": {"$gt": 3000, "$lt": 5000}}], "quality": {"$exists": True}}, "(lang = 'es' OR (n_chars > 3000 AND n_chars < 5000)) AND quality IS NOT NULL"),
+}
+
+
+def _filter_query(spec: Any) -> Query:
+    return lambda s, d: where(_docs(s, d), spec).select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+for _name, (_spec, _sql) in _CONDITIONS.items():
+    _add(f"filter_{_name}", _filter_query(_spec), f"SELECT doc_id, lang, coalesce(quality, -1)::INT AS quality FROM {_DOCS} WHERE {_sql}")
+
+_add("filter_variant", lambda s, d: where(_read(s, d, "events").withColumn("p", F.try_parse_json("props")), {"p.k": {"$gte": 50}, "event_type": {"$ne": "view"}}).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE (props::JSON->>'k')::DOUBLE >= 50 AND event_type IS DISTINCT FROM 'view'")
+_add("filter_variant_type", lambda s, d: where(_read(s, d, "events").withColumn("p", F.try_parse_json("props")), And([Field("p.k", "type", "int"), Field("p.k", "ne", "7"), Field("p.z", "is_null")])).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM events WHERE json_type(props::JSON, '$.k') IN ('UBIGINT', 'BIGINT')")
+_add("query_string_filter", lambda s, d: where(_read(s, d, "part"), parse_string('p_size:>20 p_brand:^Brand p_retailprice:<=1500')).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size > 20 AND starts_with(p_brand, 'Brand') AND p_retailprice <= 1500")
+
+
+# queries through the executor
+
+def _run(table: str, id: str, query: Any, columns: list[str]) -> Query:
+    return lambda s, d: Executor(_read(s, d, table), id=id, vector="embedding").execute(query).frame.select(*columns)
+
+
+_add("sort_offset_limit", _run("part", "p_partkey", {"where": {"p_size": {"$gte": 10}}, "sort_by": "p_retailprice", "order": "desc", "offset": 20, "limit": 25}, ["p_partkey", "p_retailprice"]), "SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 20")
+_add("list_ids_page", lambda s, d: dml.page(_read(s, d, "orders"), ["o_orderkey"], 50, 100).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+_add("count_filtered", _run("orders", "o_orderkey", {"count": True, "filter": {"o_orderstatus": "F", "o_totalprice": {"$between": [1000, 200000]}}}, ["count"]), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000")
+_add("get_by_ids", _run("customer", "c_custkey", {"ids": [7, 3, 999999999, 5]}, ["c_custkey", "c_name"]), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (7, 3, 5)")
+_add("get_many", lambda s, d: dml.get_many(_read(s, d, "benchmark").select("item_id", "text"), [3, 9999, 1, 3], "item_id").select("pos", "item_id", "found", "text"), "SELECT w.pos::INT AS pos, w.id::INT AS item_id, b.item_id IS NOT NULL AS found, b.text FROM (SELECT unnest([3, 9999, 1, 3]) AS id, unnest([0, 1, 2, 3]) AS pos) w LEFT JOIN benchmark b ON b.item_id = w.id")
+
+
+def _executor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "embeddings")
+    q = list(df.filter("vec_id = 0").select("embedding").first()[0])
+    found = Executor(df, id="vec_id", vector="embedding").execute({"vector": q, "k": 5, "filter": {"label": {"$nin": [0, 1]}}})
+    return found.frame.select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+_add("executor_search", _executor_search, f"SELECT a.vec_id, a.label, round({_L2}, 6) AS distance, round(1 / (1 + {_L2}), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE label NOT IN (0, 1) ORDER BY {_L2}, a.vec_id LIMIT 5")
+
+
+# changes
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+
+
+_add("upsert_latest_wins", lambda s, d: dml.latest(_log(s, d), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+
+
+_add("upsert", lambda s, d: dml.upsert(_parts(s, d), _parts(s, d).filter("p_partkey % 3 = 0").select((F.col("p_partkey") + 3).alias("p_partkey"), F.lit("new").alias("p_brand"), "p_size", "p_retailprice"), "p_partkey").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size")), "WITH c AS (SELECT p_partkey + 3 AS p_partkey, 'new' AS p_brand, p_size FROM part WHERE p_partkey % 3 = 0), u AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM c) UNION ALL SELECT * FROM c) SELECT p_brand, count(*) AS n, sum(p_size)::BIGINT AS size FROM u GROUP BY p_brand")
+_add("patch", lambda s, d: dml.patch(_parts(s, d), _parts(s, d).filter("p_size > 25").select("p_partkey", F.when(F.col("p_size") > 40, F.lit("big")).alias("p_brand")), "p_partkey").select("p_partkey", "p_brand"), "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' ELSE p_brand END AS p_brand FROM part")
+_add("delete_many", lambda s, d: dml.delete(_read(s, d, "customer"), _read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)")
+_add("delete_counts", lambda s, d: dml.delete_counts(_read(s, d, "supplier"), s.range(0, 5000, 7).withColumnRenamed("id", "s_suppkey"), "s_suppkey"), "SELECT count(s_suppkey) AS deleted, count(*) - count(s_suppkey) AS not_found FROM (SELECT unnest(range(0, 5000, 7)) AS k) w LEFT JOIN supplier s ON s.s_suppkey = w.k")
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parts(spark, sf_dir)
+    old = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    new = F.create_map(F.lit("size"), F.lit("?"), F.lit("seen"), F.lit("yes"))
+    merged = dml.merge_maps(old, F.when(F.col("p_size") > 25, new))
+    return p.select("p_partkey", F.try_element_at(merged, F.lit("brand")).alias("brand"), F.try_element_at(merged, F.lit("size")).alias("size"), F.try_element_at(merged, F.lit("seen")).alias("seen"))
+
+
+_add("metadata_merge", _merge, "SELECT p_partkey, p_brand AS brand, CASE WHEN p_size > 25 THEN '?' ELSE p_size::VARCHAR END AS size, CASE WHEN p_size > 25 THEN 'yes' END AS seen FROM part")
+_add("collection_stats", lambda s, d: stats.collection_stats(_vectors(s, d)), "SELECT count(*) AS count, max(len(embedding))::INT AS dimension, sum(len(embedding) * 4 + length(vec_id::VARCHAR))::BIGINT AS memory_bytes FROM embeddings")
+_add("cluster_sizes", lambda s, d: stats.cluster_sizes(_vectors(s, d), 12, "label").select("label", "n"), "SELECT r.label::INT AS label, count(e.vec_id) AS n FROM (SELECT unnest(range(12)) AS label) r LEFT JOIN embeddings e ON e.label = r.label GROUP BY r.label")
+_add("cluster_stats", lambda s, d: stats.cluster_stats(_vectors(s, d), 12, "label").select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("min_size", "max_size", "mean_size", "median_size", "std_size", "empty", "imbalance")]), "WITH c AS (SELECT r.label, count(e.vec_id) AS n FROM (SELECT unnest(range(12)) AS label) r LEFT JOIN embeddings e ON e.label = r.label GROUP BY r.label) SELECT min(n)::DOUBLE AS min_size, max(n)::DOUBLE AS max_size, round(avg(n), 6) AS mean_size, median(n)::DOUBLE AS median_size, round(stddev_pop(n), 6) AS std_size, (count(*) FILTER (n = 0))::DOUBLE AS empty, round(max(n) / (avg(n) + 1e-8::DOUBLE), 6) AS imbalance FROM c")
+_add("chunk_fixed", lambda s, d: chunking.chunk_fixed(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "start", "end", "chunk"), "WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS start FROM documents) SELECT doc_id, (start // 450)::INT AS chunk_no, start::INT AS start, least(start + 500, length(text))::INT AS \"end\", trim(substr(text, start::INT + 1, 500)) AS chunk FROM c WHERE trim(substr(text, start::INT + 1, 500)) <> ''")
+_add("chunk_sentences", lambda s, d: chunking.chunk_sentences(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk"))
+_add("chunk_recursive", lambda s, d: chunking.chunk_recursive(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk"))
+_add("context_format", lambda s, d: chunking.context(_read(s, d, "conversations"), "conv_id", "turn", "text", 40), "SELECT conv_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n) AS context FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) AS n, t FROM (SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS t FROM conversations)) GROUP BY conv_id")
+_add("feature_vectors", lambda s, d: _features(s, d), "WITH f AS (SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) + abs(l_discount - 0.05::DOUBLE) + abs(l_tax - 0.02::DOUBLE) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, round(d, 6) AS distance FROM f ORDER BY round(d, 9), l_orderkey, l_linenumber LIMIT 20")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose numeric columns, as a vector, are nearest to a point."""
+    rows = _read(spark, sf_dir, "lineitem").withColumn("v", F.array("l_quantity", "l_discount", "l_tax"))
+    found = search.with_distance(rows, [25.0, 0.05, 0.02], "manhattan", "v")
+    return found.orderBy(F.round("distance", 9), "l_orderkey", "l_linenumber").limit(20).select("l_orderkey", "l_linenumber", F.round("distance", 6).alias("distance"))
+
+
+def _ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    index = IVFIndex(n_clusters=16, n_probe=16).train(df).add(df)
+    return index.search(df.filter("id % 25 = 0"), 10).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+_add("ivf_full_probe", _ivf, _ranked_sql("b.vec_id % 25 = 0", 10))
+
+
+def _index(make: Callable[[], Any]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _vectors(spark, sf_dir)
+        return make().train(df).add(df).search(df.filter("id % 25 = 0"), 10)
+
+    return run
+
+
+_add("ivf_probe", _index(lambda: IVFIndex(n_clusters=16, n_probe=6)))
+_add("pq_adc", _index(lambda: PQIndex(n_subvectors=8, n_bits=5)))
+_add("ivfpq_probe", _index(lambda: IVFPQIndex(n_clusters=8, n_probe=4, n_subvectors=8, n_bits=5)))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
