@@ -107,7 +107,8 @@ def duplicates(df: DataFrame, threshold: float = 1e-6, id: str = "id", vector: s
 
     By the triangle inequality such vectors have distances from a pivot that differ by no more than the threshold. So
     cells of that width in the distances from a few pivots are joined with their neighbours, an equi-join; one of the
-    two sides is repeated for the neighbouring cells.
+    two sides is repeated for the neighbouring cells. Where the distances from a pivot spread over so few cells that
+    this would join most rows anyway, blocks of vectors are compared in numpy instead.
     """
     rows = _sides(df, id, vector).withColumn("vector", doubles(F.col("vector")))
     first = rows.select("vector").limit(1)
@@ -116,6 +117,9 @@ def duplicates(df: DataFrame, threshold: float = 1e-6, id: str = "id", vector: s
     rng = np.random.default_rng(0)
     places = [literal(rng.normal(size=d)) for _ in range(pivots)]
     euclid = get_metric("euclidean").column
+    spread = rows.select(F.stddev_pop(euclid(F.col("vector"), places[0]))).first()[0] or 0.0
+    if spread < 2 * width:
+        return _close(rows, float(threshold))
     cells = [F.floor(euclid(F.col("vector"), p) / width) for p in places]
     left = rows.select(F.col("id").alias("id1"), F.col("vector").alias("__a"), *[c.alias(f"__c{i}") for i, c in enumerate(cells)])
     right = rows.select(F.col("id").alias("id2"), F.col("vector").alias("__b"), *[c.alias(f"__d{i}") for i, c in enumerate(cells)])
@@ -125,6 +129,19 @@ def duplicates(df: DataFrame, threshold: float = 1e-6, id: str = "id", vector: s
     return near.withColumn("distance", euclid(F.col("__a"), F.col("__b"))).filter(F.col("distance") <= float(threshold)).select("id1", "id2", "distance")
 
 
+def _close(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs within the threshold, by blocks; inner products leave few pairs to be measured exactly."""
+
+    def pick(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * (q @ v.T)
+        a, b = np.nonzero((near <= threshold * threshold + 1e-6 * (1 + near)) & (qids[:, None] < ids[None, :]))
+        d = np.sqrt(((q[a] - v[b]) ** 2).sum(axis=1))
+        keep = d <= threshold
+        return a[keep], b[keep], d[keep]
+
+    return pairs(rows, rows, pick).select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), "distance")
+
+
 def distance_matrix(left: DataFrame, right: DataFrame | None = None, metric: str | Metric = "euclidean", id: str = "id", vector: str = "vector") -> DataFrame:
     """``query_id, id, distance`` for all pairs: the output is that large, the plan works by blocks."""
     kernel = get_metric(metric).kernel
