@@ -32,10 +32,12 @@ def corpus(seed=0, n=120):
     texts = []
     for i in range(n):
         t = [rng.choice(words) for _ in range(rng.randint(3, 160))]
-        if texts and rng.random() < 0.3:
-            t = (rng.choice(texts) or "").split(" ")
+        if texts and rng.random() < 0.3:  # a copy, with a few words changed
+            t = rng.choice(texts).split(" ")
             for _ in range(rng.choice([0, 1, 2, 4])):
                 t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+            continue
         if rng.random() < 0.2:
             t = t[:20] + [passage] + t[20:]
         lines, k = [], 0
