@@ -131,6 +131,10 @@ class Collection:
         self.frame = self.spark.createDataFrame([], SCHEMA)
         return n
 
+    def checkpoint(self) -> None:
+        """Cuts the plan that changes have built up, in spark.checkpoint.dir."""
+        self.frame = self.frame.checkpoint()
+
     # reads
 
     def count(self, filter: Any = None) -> int:
@@ -167,6 +171,30 @@ class Collection:
         found = search.knn(self._where(filter), q, check_k(k), self.metric)
         return found.select("id", "distance", search.relative_score().alias("score"), *["vector"] * include_vector, "metadata")
 
+    def explain(self, query: Sequence[float], k: int = 10, filter: Any = None) -> str:
+        """The plan of a search."""
+        mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        return self.search(query, k, filter)._jdf.queryExecution().explainString(mode)
+
+    def range_search(self, query: Sequence[float], radius: float, filter: Any = None, max_results: int | None = None) -> DataFrame:
+        found = search.range_search(self._where(filter), check_vector(query, self.config.dimension), radius, self.metric, None, max_results)
+        return found.select("id", "distance", "metadata")
+
+    def sample(self, n: int, seed: int | None = None) -> DataFrame:
+        return dml.sample(self.frame, n, seed)
+
+    def to_dict(self) -> dict:
+        """Config and records as plain values: for small collections."""
+        return {"config": asdict(self.config), "records": [self._record(r) for r in self._json(self.frame).orderBy("seq").collect()]}
+
+    @classmethod
+    def from_dict(cls, spark: SparkSession, data: dict) -> Collection:
+        c = cls(spark, Config(**data["config"]))
+        if data["records"]:
+            rows = [(r["id"], r["vector"], json.dumps(r["metadata"]), r["ts"], r["seq"]) for r in data["records"]]
+            c.frame = c._frame(rows)
+        return c
+
     def search_batch(self, queries: DataFrame, k: int = 10, filter: Any = None) -> DataFrame:
         """Queries (id, vector) to ``query_id, rank, id, distance``."""
         return search.knn_batch(self._where(filter).select("id", "vector"), queries, check_k(k), self.metric)
@@ -186,6 +214,14 @@ class Collection:
         return sorted(r[0] for r in self.frame.select(F.explode(keys)).distinct().collect())
 
 
+def records_from_numpy(vectors: Any, ids: Sequence[str] | None = None, metadata: Sequence[dict] | None = None) -> list[tuple]:
+    """Records for add_batch from a matrix; without ids they get new ones. Lengths must agree."""
+    n = len(vectors)
+    if ids is not None and len(ids) != n or metadata is not None and len(metadata) != n:
+        raise ValidationError("as many ids and metadata as vectors")
+    return [(ids[i] if ids is not None else str(uuid.uuid4()), vectors[i].tolist(), metadata[i] if metadata is not None else None) for i in range(n)]
+
+
 class Database:
     """Named collections, saved to and loaded from a folder."""
 

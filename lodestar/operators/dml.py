@@ -69,3 +69,9 @@ def page(state: DataFrame, order: Sequence[str], limit: int | None = None, offse
     if offset:
         out = out.offset(offset)
     return out.limit(limit) if limit else out
+
+
+def sample(state: DataFrame, n: int, seed: int | None = None, id: str = "id") -> DataFrame:
+    """n rows without replacement; with a seed the same ones each time, as the order is by hashes of ids."""
+    order = F.xxhash64(F.col(id), F.lit(seed)) if seed is not None else F.rand()
+    return state.orderBy(order, F.col(id)).limit(n)

@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.collection import Database
+from lodestar.collection import Collection, Database, records_from_numpy
 from lodestar.errors import CapacityError, CollectionExistsError, DimensionMismatchError, DuplicateIdError, NotFoundError, StorageError, ValidationError
 from lodestar.functions.batching import batch_process
 from lodestar.operators import chunking, dml, stats
@@ -58,6 +59,18 @@ def test_reads(items):
     assert [r.id for r in items.search_batch(q, 2).collect()] == ["b", "a"]
 
 
+def test_more_reads(spark, items):
+    assert "TakeOrderedAndProject" in items.explain([0, 0], 2, {"n": 1})
+    assert [r.id for r in items.range_search([0, 0], 1.0).collect()] == ["a", "b"] and [r.id for r in items.range_search([0, 0], 5.0, max_results=1).collect()] == ["a"]
+    assert {r.id for r in items.sample(2, 1).collect()} == {r.id for r in items.sample(2, 1).collect()} and items.sample(9).count() == 3
+    back = Collection.from_dict(spark, json.loads(json.dumps(items.to_dict())))
+    assert back.to_dict() == items.to_dict()
+    items.add_batch(records_from_numpy(np.eye(2), ["p", "q"]))
+    assert items.get("q")["vector"] == [0, 1] and len(records_from_numpy(np.eye(2))[0][0]) == 36
+    with pytest.raises(ValidationError):
+        records_from_numpy(np.eye(2), ["p"])
+
+
 def test_frames_into_collections(spark, items):
     new = spark.createDataFrame([("e", [1.0, 1.0], '{"n": 1}'), ("a", [1.0, 1.0], "{}"), ("bad id", [1.0, 1.0], "{}"), ("f", [1.0], "{}"), ("g", [float("nan"), 0.0], None)], "id string, vector array<double>, metadata string")
     left = items.add_frame(new)
