@@ -209,6 +209,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     anchors = rows.select("text").mapInArrow(_anchors(length, anchor), "anchor long, key binary, first long, last long")
     place = F.xxhash64("key", "first")
     twice = anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("anchor")
+    # as a checkpoint it is broadcast if small, and else meets the anchors in a join whose hot partitions can be split
+    twice = small_or_not(checkpoint(twice), F.lit(16))
     hits = checkpoint(anchors.join(twice, "anchor", "left_semi").distinct())
     hot = checkpoint(hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("anchor", F.lit(True).alias("hot")))
     marked = hits.join(small_or_not(hot, F.lit(24)), "anchor", "left")
