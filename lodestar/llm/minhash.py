@@ -23,7 +23,9 @@ from lodestar.llm.shingles import as_bytes, bounds, mix, shingle_sets, whole_gro
 SIZE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 85
-TOKENS, TREES, DEPTH, NODE = 64, 20, 14, 300
+TOKENS, TREES, NODE = 64, 20, 300
+#: Levels of a tree below the first, as they are looked at together.
+LEVELS = ((2, 2), (3, 4), (5, 7), (8, 14))
 #: Pairs whose share of equal tokens is this much below the threshold aren't compared: four standard deviations.
 SLACK = 4 * (0.85 * 0.15 / TOKENS) ** 0.5
 _A = np.random.default_rng(7).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,17 +74,21 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), tree, np.int32)), pa.array(v)], ["key", "tree", "v"])
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of each set below the first level of a tree: the path so far chooses the next token."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m, v, tree = _matrix(batch.column("tokens")), batch.column("v").to_numpy(), batch.column("tree").to_numpy()
-        path, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(len(v))
-        for depth in range(2, DEPTH + 1):
-            chosen = (mix(path ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(TOKENS)).astype(np.int64)
-            path = mix(path + m[rows, chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(33)))
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(np.full(len(v), depth, np.int32)), pa.array(tree), pa.array(v)], ["key", "depth", "tree", "v"])
+def _deeper(first: int, last: int):
+    """The nodes of each set on levels ``first`` to ``last`` of a tree: the path so far chooses the next token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, v, tree = _matrix(batch.column("tokens")), batch.column("v").to_numpy(), batch.column("tree").to_numpy()
+            path, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(len(v))
+            for depth in range(first, last + 1):
+                chosen = (mix(path ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(TOKENS)).astype(np.int64)
+                path = mix(path + m[rows, chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(33)))
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(np.full(len(v), depth, np.int32)), pa.array(tree), pa.array(v)], ["key", "depth", "tree", "v"])
+
+    return run
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
@@ -90,16 +96,24 @@ def _nodes(sets: DataFrame) -> DataFrame:
     first = sets.select("v", "tokens").mapInArrow(_first_level, "key long, tree int, v long")
     counts = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpoint(first.join(counts, "key"))
-    small = members.filter(F.col("n") <= NODE).select("key", "v")
-    deep = members.filter(F.col("n") > NODE).join(sets.select("v", "tokens"), "v").select("key", "tree", "v", "tokens").mapInArrow(_deeper, "key long, depth int, tree int, v long")
-    depths = deep.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # the first level at which the set's node is small, or else the last
-    rank = F.when(F.col("n") <= NODE, F.col("depth")).otherwise(100 - F.col("depth"))
-    last = deep.join(depths, "key").groupBy("tree", "v").agg(F.min(F.struct(rank.alias("rank"), "key", "n")).alias("at")).select("at.key", "at.n", "v").filter("n > 1")
+    nodes = members.filter(F.col("n") <= NODE).select("key", "v")
+    last = members.filter(F.col("n") > NODE).select("key", "n", "tree", "v")
+    # most sets part from each other within a few levels; only what is left goes on to the next
+    for lo, hi in LEVELS:
+        if last.isEmpty():
+            return nodes
+        deep = last.join(sets.select("v", "tokens"), "v").select("key", "tree", "v", "tokens").mapInArrow(_deeper(lo, hi), "key long, depth int, tree int, v long")
+        depths = deep.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        # the first level at which the set's node is small, or else the last
+        rank = F.when(F.col("n") <= NODE, F.col("depth")).otherwise(100 - F.col("depth"))
+        reached = deep.join(depths, "key").groupBy("tree", "v").agg(F.min(F.struct(rank.alias("rank"), "key", "n")).alias("at")).select("at.key", "at.n", "tree", "v").filter("n > 1")
+        reached = checkpoint(reached)
+        nodes = nodes.unionByName(reached.filter(F.col("n") <= NODE).select("key", "v"))
+        last = reached.filter(F.col("n") > NODE)
     block, blocks = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / (NODE // 2))), F.ceil(F.col("n") / (NODE // 2))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.xxhash64("key", F.least(x, block), F.greatest(x, block)))
     large = last.filter(F.col("n") > NODE).select(F.explode(pairs).alias("key"), "v")
-    return small.unionByName(last.filter(F.col("n") <= NODE).select("key", "v")).unionByName(large)
+    return nodes.unionByName(large)
 
 
 def _parts(link: np.ndarray) -> np.ndarray:
