@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint, let
+from lodestar.llm.common import checkpoint, let, small_or_not
 
 #: Production parameter: sentences of a span.
 SPAN = 3
@@ -40,6 +40,8 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the first place of each run; a run is found twice if its last place is another
     place = F.struct("__id", "__text", "i")
     seen = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
+    # as a checkpoint it is broadcast if small, and else meets the runs in a join whose hot partitions can be split
+    seen = small_or_not(checkpoint(seen), F.lit(80))
     again = spans.join(seen, ["a", "b"]).filter(place != F.col("first"))
     gone = again.groupBy("__id", "__text").agg(F.sort_array(F.collect_set("i")).alias("__runs"))
     out = rows.withColumn("__id", first_of).join(checkpoint(gone), ["__id", "__text"], "left")
