@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lodestar.llm import bpe, line_dedup, minhash, mixing, quality
 
 
+#: Similarity in percent from which the near-dedup stage takes documents for copies; op10's own contract is 85.
+NEAR_PERCENT = 80
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """docs with n_chars set to what the texts have now."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -29,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays, once if rows are repeated; rows without an id stay."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = found.filter(~F.col("kept")).select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

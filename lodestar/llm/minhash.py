@@ -3,7 +3,7 @@
 Every distinct shingle set gets minwise tokens. A tree branches the sets by a chosen token, level after level, until a
 node is small; small nodes are compared exhaustively, first by their tokens, then on full sets. Independent trees are
 repeated until a pair at the threshold is found with the wanted probability: a pair of similarity s shares the first
-node of a tree with probability s, so TREES trees miss it with (1 - s) ** TREES, 3e-17 at 0.85.
+node of a tree with probability s, so n trees miss it with (1 - s) ** n, at most MISS at the threshold.
 Nodes that never become small are cut into blocks of which every pair is compared, so nothing is dropped.
 """
 
@@ -21,17 +21,28 @@ from lodestar.llm.components import components
 from lodestar.llm.shingles import as_bytes, bounds, mix, shingle_sets, whole_groups
 
 SIZE = 5
-#: 100 * intersection >= PERCENT * union links two sets.
+#: 100 * intersection >= percent * union links two sets; PERCENT is the contract of op10.
 PERCENT = 85
-TOKENS, TREES, NODE = 64, 20, 300
+TOKENS, NODE = 64, 300
+#: Chance to miss a pair at the threshold in the first nodes of all trees.
+MISS = 0.15**20
 #: Levels of a tree below the first, as they are looked at together.
 LEVELS = ((2, 2), (3, 4), (5, 7), (8, 14))
-#: Pairs whose share of equal tokens is this much below the threshold aren't compared: four standard deviations.
-SLACK = 4 * (0.85 * 0.15 / TOKENS) ** 0.5
 _A = np.random.default_rng(7).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, TOKENS, dtype=np.uint64)
 
 
+def _trees(percent: int) -> int:
+    """Trees that miss a pair at the threshold with a chance of at most MISS."""
+    return 1 if percent >= 100 else min(TOKENS, int(np.ceil(np.log(MISS) / np.log(1 - percent / 100) - 1e-9)))
+
+
+def _least(percent: int) -> int:
+    """Equal tokens below which pairs aren't compared: four standard deviations below the threshold."""
+    s = percent / 100
+    return int(np.ceil(TOKENS * (s - 4 * (s * (1 - s) / TOKENS) ** 0.5)))
+
+
 def _tokens(s: np.ndarray) -> np.ndarray:
     out = np.full(TOKENS, 2**64 - 1, np.uint64)
     for i in range(0, len(s), 8192):
@@ -65,13 +76,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].view(np.uint32).reshape(-1, TOKENS)
 
 
-def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_level(trees: int):
     """The node of each set at the first level of each tree."""
-    for batch in batches:
-        m, v = _matrix(batch.column("tokens")), batch.column("v").to_numpy()
-        for tree in range(TREES):
-            key = mix(m[:, tree * TOKENS // TREES].astype(np.uint64) + (np.uint64(tree + 1) << np.uint64(40)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), tree, np.int32)), pa.array(v)], ["key", "tree", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, v = _matrix(batch.column("tokens")), batch.column("v").to_numpy()
+            for tree in range(trees):
+                key = mix(m[:, tree * TOKENS // trees].astype(np.uint64) + (np.uint64(tree + 1) << np.uint64(40)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), tree, np.int32)), pa.array(v)], ["key", "tree", "v"])
+
+    return run
 
 
 def _deeper(first: int, last: int):
@@ -91,9 +106,9 @@ def _deeper(first: int, last: int):
     return run
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
+def _nodes(sets: DataFrame, percent: int) -> DataFrame:
     """``key, v``: the nodes in which sets are compared, none larger than NODE."""
-    first = sets.select("v", "tokens").mapInArrow(_first_level, "key long, tree int, v long")
+    first = sets.select("v", "tokens").mapInArrow(_first_level(_trees(percent)), "key long, tree int, v long")
     counts = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpoint(first.join(counts, "key"))
     nodes = members.filter(F.col("n") <= NODE).select("key", "v")
@@ -128,38 +143,42 @@ def _parts(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(percent: int):
     """In each node the groups of sets that their tokens may link; the same group has the same name in every tree."""
-    least = int(np.ceil(TOKENS * (PERCENT / 100 - SLACK)))
-    for table in whole_groups(batches, "key"):
-        keys, v, n = (table.column(c).to_numpy() for c in ("key", "v", "n"))
-        m = _matrix(table.column("tokens"))
-        names, members = [], []
-        at = bounds(keys)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a == 2:
-                if (m[a] == m[a + 1]).sum() >= least and 100 * min(n[a], n[a + 1]) >= PERCENT * max(n[a], n[a + 1]):
-                    groups = [v[a:b]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = _least(percent)
+        for table in whole_groups(batches, "key"):
+            keys, v, n = (table.column(c).to_numpy() for c in ("key", "v", "n"))
+            m = _matrix(table.column("tokens"))
+            names, members = [], []
+            at = bounds(keys)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if b - a == 2:
+                    if (m[a] == m[a + 1]).sum() >= least and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
+                        groups = [v[a:b]]
+                    else:
+                        continue
+                elif b - a > 2:
+                    ms, ns = m[a:b], n[a:b]
+                    same = np.zeros((b - a, b - a), np.int16)
+                    for t in range(TOKENS):
+                        same += ms[:, t, None] == ms[None, :, t]
+                    link = (same >= least) & (100 * np.minimum(ns[:, None], ns) >= percent * np.maximum(ns[:, None], ns))
+                    label = _parts(link)
+                    groups = [g for x in np.unique(label) if len(g := v[a:b][label == x]) > 1]
                 else:
                     continue
-            elif b - a > 2:
-                ms, ns = m[a:b], n[a:b]
-                same = np.zeros((b - a, b - a), np.int16)
-                for t in range(TOKENS):
-                    same += ms[:, t, None] == ms[None, :, t]
-                link = (same >= least) & (100 * np.minimum(ns[:, None], ns) >= PERCENT * np.maximum(ns[:, None], ns))
-                label = _parts(link)
-                groups = [g for x in np.unique(label) if len(g := v[a:b][label == x]) > 1]
-            else:
-                continue
-            for g in groups:
-                g = np.unique(g)
-                if len(g) > 1:
-                    name = mix((mix(g.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).sum(keepdims=True))
-                    names.append(np.repeat(name.view(np.int64), len(g)))
-                    members.append(g)
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["name", "v"])
+                for g in groups:
+                    g = np.unique(g)
+                    if len(g) > 1:
+                        name = mix((mix(g.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).sum(keepdims=True))
+                        names.append(np.repeat(name.view(np.int64), len(g)))
+                        members.append(g)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["name", "v"])
+
+    return run
 
 
 def _full_sets(size: int):
@@ -172,42 +191,46 @@ def _full_sets(size: int):
     return run
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(percent: int):
     """Links confirmed on full sets, as many as hold each group together."""
-    for table in whole_groups(batches, "name"):
-        keys, v = table.column("name").to_numpy(), table.column("v").to_numpy()
-        data, offsets = as_bytes(table.column("items"))
-        at, left, right = bounds(keys), [], []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            _, which = np.unique(v[a:b], return_index=True)
-            rows = [int(a + i) for i in which]
-            sets = [data[offsets[i] : offsets[i + 1]].view(np.uint64) for i in rows]
-            n = np.array([len(s) for s in sets])
-            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-            part, mark = np.arange(len(rows)), np.zeros(int(ids.max()) + 1, np.int64)
-            for i in range(len(rows) - 1):
-                own = ids[begin[i] : begin[i] + n[i]]
-                mark[own] = 1
-                both = np.add.reduceat(mark[ids], begin)
-                mark[own] = 0
-                for j in np.flatnonzero((100 * both >= PERCENT * (n + n[i] - both)) & (part != part[i])):
-                    if part[j] != part[i]:
-                        left.append(v[rows[i]])
-                        right.append(v[rows[j]])
-                        low, high = sorted((part[i], part[j]))
-                        part[part == high] = low
-                if not part.any():
-                    break
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "name"):
+            keys, v = table.column("name").to_numpy(), table.column("v").to_numpy()
+            data, offsets = as_bytes(table.column("items"))
+            at, left, right = bounds(keys), [], []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                _, which = np.unique(v[a:b], return_index=True)
+                rows = [int(a + i) for i in which]
+                sets = [data[offsets[i] : offsets[i + 1]].view(np.uint64) for i in rows]
+                n = np.array([len(s) for s in sets])
+                _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+                begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+                part, mark = np.arange(len(rows)), np.zeros(int(ids.max()) + 1, np.int64)
+                for i in range(len(rows) - 1):
+                    own = ids[begin[i] : begin[i] + n[i]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[ids], begin)
+                    mark[own] = 0
+                    for j in np.flatnonzero((100 * both >= percent * (n + n[i] - both)) & (part != part[i])):
+                        if part[j] != part[i]:
+                            left.append(v[rows[i]])
+                            right.append(v[rows[j]])
+                            low, high = sorted((part[i], part[j]))
+                            part[part == high] = low
+                    if not part.any():
+                        break
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: ``doc_id, n_shingles, component_id, kept``.
 
     A text's set: its distinct ``size``-word shingles, A-Z lower-cased; the whole sequence if it has fewer words; empty
-    without words or text. Sets with 100 * intersection >= PERCENT * union are linked, and component_id is the least id
+    without words or text. Sets with 100 * intersection >= percent * union are linked, and component_id is the least id
     that links reach. Empty sets are linked with nothing. Equal sets are linked, and stand for one vertex, so large
     groups of copies are no burden. Rows without an id are never linked: their component is null and they are kept.
     Rows that repeat an id are copies if their texts are equal, and else count as documents of their own. Ids must be
@@ -219,12 +242,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = known.groupBy("v").agg(F.min("doc_id").alias("rep"))
     sets = checkpoint(known.join(reps.select("v", F.col("rep").alias("doc_id")), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", F.col("doc_id").alias("rep"), "n", "tokens"))
     parts = spark_parts(docs)
-    nodes = _nodes(sets).join(sets.select("v", "n", "tokens"), "v").select("key", "v", "n", "tokens")
-    likely = nodes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely, "name long, v long")
+    nodes = _nodes(sets, percent).join(sets.select("v", "n", "tokens"), "v").select("key", "v", "n", "tokens")
+    likely = nodes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely(percent), "name long, v long")
     likely = checkpoint(likely.distinct())
     wanted = likely.select("v").distinct().join(sets.select("v", "rep"), "v")
     full = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("v", "text").mapInArrow(_full_sets(size), "v long, items binary")
-    links = likely.join(full, "v").select("name", "v", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed, "a long, b long")
+    links = likely.join(full, "v").select("name", "v", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed(percent), "a long, b long")
     roots = components(links)
     labelled = sets.select("v", "rep").join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))

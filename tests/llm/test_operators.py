@@ -429,6 +429,22 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert got == part
 
 
+def test_near_duplicates_at_lower_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 are linked by the pipeline's stage, and not under the contract of op10."""
+    import corpus_pipeline
+
+    rng, words = random.Random(12), vocabulary()
+    texts = []
+    for k in range(20):
+        t = [rng.choice(words) + rng.choice(words) for _ in range(100)]
+        texts += [" ".join(t), " ".join(t[: 93 - k % 5] + [f"new{k}x{i}" for i in range(7 + k % 5)])]
+    like = [len(a & b) / len(a | b) for a, b in zip(map(sets_of, texts[::2]), map(sets_of, texts[1::2]), strict=True)]
+    assert sum(0.8 <= x < 0.85 for x in like) == 12 and sum(x < 0.8 for x in like) == 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {i for i in range(40) if i % 2 == 0 or like[i // 2] < 0.8}
+    assert minhash.near_duplicates(docs).filter("not kept").count() == sum(x >= 0.85 for x in like)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 20), (None, 4), (5, None), (2, 1), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35), (35, 36)]
     out = components(spark.createDataFrame(edges, "a long, b long"))
