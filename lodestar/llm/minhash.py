@@ -4,7 +4,12 @@ Every distinct shingle set gets minwise tokens. A tree branches the sets by a ch
 node is small; small nodes are compared exhaustively, first by their tokens, then on full sets. Independent trees are
 repeated until a pair at the threshold is found with the wanted probability: a pair of similarity s shares the first
 node of a tree with probability s, so n trees miss it with (1 - s) ** n, at most MISS at the threshold.
-Nodes that never become small are cut into blocks of which every pair is compared, so nothing is dropped.
+Nodes that never become small are cut into blocks of which every pair is compared.
+
+A pair comes along to a deeper level only with a chance of about its similarity, so trees alone lose links within large
+first nodes. Sets of such nodes are therefore joined once more by prefixes of their full sets, which is exact: in an
+order of shingles from rare to common, two sets at the threshold share one of the first n - ceil(percent * n / 100) + 1 shingles of both.
+Only sets that the trees have not yet brought together are compared there.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint
+from lodestar.llm.common import checkpoint, small_or_not
 from lodestar.llm.components import components
 from lodestar.llm.shingles import as_bytes, bounds, mix, shingle_sets, whole_groups
 
 SIZE = 5
+#: Counters of the sketch that orders shingles from rare to common, and counters in one of its rows.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: 100 * intersection >= percent * union links two sets; PERCENT is the contract of op10.
 PERCENT = 85
 TOKENS, NODE = 64, 300
@@ -106,17 +113,18 @@ def _deeper(first: int, last: int):
     return run
 
 
-def _nodes(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, v``: the nodes in which sets are compared, none larger than NODE."""
+def _nodes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``key, v``: the nodes in which sets are compared, none larger than NODE; ``v``: the sets of large first nodes."""
     first = sets.select("v", "tokens").mapInArrow(_first_level(_trees(percent)), "key long, tree int, v long")
     counts = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpoint(first.join(counts, "key"))
     nodes = members.filter(F.col("n") <= NODE).select("key", "v")
     last = members.filter(F.col("n") > NODE).select("key", "n", "tree", "v")
+    crowded = last.select("v").distinct()
     # most sets part from each other within a few levels; only what is left goes on to the next
     for lo, hi in LEVELS:
         if last.isEmpty():
-            return nodes
+            return nodes, crowded
         deep = last.join(sets.select("v", "tokens"), "v").select("key", "tree", "v", "tokens").mapInArrow(_deeper(lo, hi), "key long, depth int, tree int, v long")
         depths = deep.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         # the first level at which the set's node is small, or else the last
@@ -128,7 +136,81 @@ def _nodes(sets: DataFrame, percent: int) -> DataFrame:
     block, blocks = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / (NODE // 2))), F.ceil(F.col("n") / (NODE // 2))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.xxhash64("key", F.least(x, block), F.greatest(x, block)))
     large = last.filter(F.col("n") > NODE).select(F.explode(pairs).alias("key"), "v")
-    return nodes.unionByName(large)
+    return nodes.unionByName(large), crowded
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _counted(size: int):
+    """How many sets of a partition fall on each counter, up to 255, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column("text"), size) if len(s)]
+            for i in range(0, len(sets), 1000):
+                counts += np.bincount(_slots(np.concatenate(sets[i : i + 1000])), minlength=COUNTERS)
+        full = [(i, c) for i, c in enumerate(np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)) if c.any()]
+        if full:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([c.tobytes() for _, c in full], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each chunk; a partition holds all rows of its chunks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
+
+
+def _prefixes(size: int, percent: int, counts: np.ndarray):
+    """The rarest shingles of each set, of which sets at the threshold share one. Any order is right; this makes groups small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vs, keys = [], []
+            for s in shingle_sets(batch.column("text"), size):
+                order = np.lexsort((s, counts[_slots(s)]))
+                vs.append(_vertex(s))
+                keys.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(vs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "v", "keys"])
+
+    return run
+
+
+def _apart(rows: DataFrame, crowded: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """``key, v, root``: groups that hold each pair of sets at the threshold whose roots differ.
+
+    rows: ``doc_id, text``; crowded: ``doc_id, v`` of the sets to look at; roots: ``v, root`` of those already linked.
+    Of a shingle's sets those of the commonest root are one side, all others the other; blocks of both sides meet, and
+    blocks of the other side meet each other, so a family that is already linked is not compared with itself.
+    """
+    counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
+    for r in rows.select("text").mapInArrow(_counted(size), "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
+        counts[r.chunk] = np.frombuffer(r.counts, np.int64)
+    prefixes = rows.mapInArrow(_prefixes(size, percent, counts.ravel()), "doc_id long, v long, keys array<long>")
+    prefixes = checkpoint(prefixes.join(crowded, ["doc_id", "v"]).join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "keys"))
+    keys = prefixes.select(F.explode("keys").alias("key"), "v", "root")
+    sides = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    sides = sides.filter(F.col("n") > F.col("most.n")).select("key", F.col("most.root").alias("first"), F.ceil(F.col("most.n") / (NODE // 2)).alias("a"), F.ceil((F.col("n") - F.col("most.n")) / (NODE // 2)).alias("b"))
+    sides = small_or_not(checkpoint(sides), F.lit(40))
+    own = F.pmod(F.xxhash64("v"), F.when(F.col("root") == F.col("first"), F.col("a")).otherwise(F.col("b")))
+
+    def upto(n: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    left = F.transform(upto("b"), lambda x: F.xxhash64("key", F.lit(0), F.col("own"), x))
+    right = F.transform(upto("a"), lambda x: F.xxhash64("key", F.lit(0), x, F.col("own")))
+    # with a single block the other side meets itself beside the first one
+    among = F.when(F.col("b") > 1, F.transform(upto("b"), lambda x: F.xxhash64("key", F.lit(1), F.least(x, "own"), F.greatest(x, "own")))).otherwise(F.array().cast("array<bigint>"))
+    met = keys.join(sides, "key").withColumn("own", own)
+    return met.select(F.explode(F.when(F.col("root") == F.col("first"), left).otherwise(F.concat(right, among))).alias("key"), "v", "root")
 
 
 def _parts(link: np.ndarray) -> np.ndarray:
@@ -144,27 +226,31 @@ def _parts(link: np.ndarray) -> np.ndarray:
 
 
 def _likely(percent: int):
-    """In each node the groups of sets that their tokens may link; the same group has the same name in every tree."""
+    """In each node the groups of sets that their tokens may link; the same group has the same name in every tree.
+
+    Where rows have a root, sets of the same root are linked already and not compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = _least(percent)
         for table in whole_groups(batches, "key"):
             keys, v, n = (table.column(c).to_numpy() for c in ("key", "v", "n"))
             m = _matrix(table.column("tokens"))
+            root = table.column("root").to_numpy() if "root" in table.column_names else v
             names, members = [], []
             at = bounds(keys)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if b - a == 2:
-                    if (m[a] == m[a + 1]).sum() >= least and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
+                    if root[a] != root[a + 1] and (m[a] == m[a + 1]).sum() >= least and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
                         groups = [v[a:b]]
                     else:
                         continue
-                elif b - a > 2:
+                elif b - a > 2 and (root[a:b] != root[a]).any():
                     ms, ns = m[a:b], n[a:b]
                     same = np.zeros((b - a, b - a), np.int16)
                     for t in range(TOKENS):
                         same += ms[:, t, None] == ms[None, :, t]
-                    link = (same >= least) & (100 * np.minimum(ns[:, None], ns) >= percent * np.maximum(ns[:, None], ns))
+                    link = (root[a:b, None] != root[a:b]) & (same >= least) & (100 * np.minimum(ns[:, None], ns) >= percent * np.maximum(ns[:, None], ns))
                     label = _parts(link)
                     groups = [g for x in np.unique(label) if len(g := v[a:b][label == x]) > 1]
                 else:
@@ -242,13 +328,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = known.groupBy("v").agg(F.min("doc_id").alias("rep"))
     sets = checkpoint(known.join(reps.select("v", F.col("rep").alias("doc_id")), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", F.col("doc_id").alias("rep"), "n", "tokens"))
     parts = spark_parts(docs)
-    nodes = _nodes(sets, percent).join(sets.select("v", "n", "tokens"), "v").select("key", "v", "n", "tokens")
-    likely = nodes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely(percent), "name long, v long")
-    likely = checkpoint(likely.distinct())
-    wanted = likely.select("v").distinct().join(sets.select("v", "rep"), "v")
-    full = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("v", "text").mapInArrow(_full_sets(size), "v long, items binary")
-    links = likely.join(full, "v").select("name", "v", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed(percent), "a long, b long")
-    roots = components(links)
+    nodes, crowded = _nodes(sets, percent)
+
+    def texts_of(v: DataFrame) -> DataFrame:
+        wanted = v.join(sets.select("v", F.col("rep").alias("doc_id")), "v")
+        return rows.join(wanted, "doc_id").select("v", "text").mapInArrow(_full_sets(size), "v long, items binary")
+
+    def links_in(nodes: DataFrame) -> DataFrame:
+        near = nodes.join(sets.select("v", "n", "tokens"), "v").select(*nodes.columns, "n", "tokens")
+        likely = near.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely(percent), "name long, v long")
+        likely = checkpoint(likely.distinct())
+        full = texts_of(likely.select("v").distinct())
+        return likely.join(full, "v").select("name", "v", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed(percent), "a long, b long")
+
+    roots = components(links_in(nodes))
+    crowded = checkpoint(crowded.join(sets.select("v", F.col("rep").alias("doc_id")), "v"))
+    if not crowded.isEmpty():
+        more = links_in(_apart(rows, crowded, roots, size, percent))
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     labelled = sets.select("v", "rep").join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = labelled.join(least, "root").select("v", "component_id")

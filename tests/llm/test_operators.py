@@ -429,6 +429,22 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert got == part
 
 
+def test_near_duplicates_within_a_family(spark, monkeypatch):
+    """Isolated links in a large family of texts that share much are found, however deep the trees go there."""
+    rng, words = random.Random(21), vocabulary()
+    common, texts = [rng.choice(words) + rng.choice(words) for _ in range(140)], []
+    for i in range(300):
+        t = common + [f"own{i}x{k}" for k in range(30)]
+        texts.append(" ".join(t))
+        texts.append(" ".join(t[:-13] + [f"other{i}x{k}" for k in range(13)]))
+    rows = list(enumerate(texts))
+    part = grouped(rows)
+    assert len(rows) - len(set(part.values())) == 300
+    monkeypatch.setattr(minhash, "NODE", 3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == part
+
+
 def test_near_duplicates_at_lower_threshold(spark):
     """Pairs of similarity 0.80 to 0.85 are linked by the pipeline's stage, and not under the contract of op10."""
     import corpus_pipeline
