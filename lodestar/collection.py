@@ -145,7 +145,7 @@ class Collection:
 
     def _where(self, filter: Any) -> DataFrame:
         f = in_metadata(parse_filter(filter))
-        return self.frame if f is None else self.frame.filter(f.column(self.frame.schema))
+        return self.frame if f is None else self.frame.filter(f.predicate(self.frame.schema))
 
     @staticmethod
     def _record(row: Any) -> dict:

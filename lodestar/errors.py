@@ -35,3 +35,7 @@ class QuerySyntaxError(EngineError, ValueError):
 
 class CapacityError(EngineError, ValueError):
     """A collection would hold more rows than it may."""
+
+
+class QueryTimeout(EngineError, TimeoutError):
+    """A query ran longer than it may."""

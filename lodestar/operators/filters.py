@@ -37,8 +37,13 @@ class Filter:
         return Not(self)
 
     def column(self, schema: T.StructType) -> Column:
+        """The condition as a value that is never null."""
         raise NotImplementedError
 
+    def predicate(self, schema: T.StructType) -> Column:
+        """The condition for a WHERE, where null is as good as false: bare comparisons, which Spark pushes into scans."""
+        return self.column(schema)
+
     def to_dict(self) -> dict:
         raise NotImplementedError
 
@@ -61,8 +66,10 @@ class Field(Filter):
         return {"type": "field", "field": self.field, "operator": self.op, "value": self.value}
 
     def column(self, schema: T.StructType) -> Column:
-        v, kind = resolve(schema, self.field)
-        return F.coalesce(_compare(v, kind, self.op, self.value), F.lit(False))
+        return F.coalesce(self.predicate(schema), F.lit(False))
+
+    def predicate(self, schema: T.StructType) -> Column:
+        return _compare(*resolve(schema, self.field), self.op, self.value)
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,9 @@ class And(Filter):
     def column(self, schema: T.StructType) -> Column:
         return functools.reduce(operator.and_, [f.column(schema) for f in self.filters], F.lit(True))
 
+    def predicate(self, schema: T.StructType) -> Column:
+        return functools.reduce(operator.and_, [f.predicate(schema) for f in self.filters]) if self.filters else F.lit(True)
+
 
 @dataclass(frozen=True)
 class Or(Filter):
@@ -90,6 +100,9 @@ class Or(Filter):
     def column(self, schema: T.StructType) -> Column:
         return functools.reduce(operator.or_, [f.column(schema) for f in self.filters], F.lit(False))
 
+    def predicate(self, schema: T.StructType) -> Column:
+        return functools.reduce(operator.or_, [f.predicate(schema) for f in self.filters]) if self.filters else F.lit(False)
+
 
 @dataclass(frozen=True)
 class Not(Filter):
@@ -161,19 +174,32 @@ def _typed(v: Column, kind: T.DataType, c: Any) -> tuple[Column, Column] | None:
     return v, F.lit(int(c) if isinstance(c, bool) else c) if own == "number" else F.lit(list(c) if own == "list" else c)
 
 
-def _equals(v: Column, kind: T.DataType, c: Any) -> Column:
+def _same(v: Column, kind: T.DataType, c: Any) -> Column:
+    """v = c; null where v is."""
     if c is None:
-        return v.isNull() | (F.is_variant_null(v) if isinstance(kind, T.VariantType) else F.lit(False))
+        return v.isNull() | F.is_variant_null(v) if isinstance(kind, T.VariantType) else v.isNull()
     pair = _typed(v, kind, c)
-    if pair is None or _class(c) == "dict":
-        return F.lit(False)
-    return F.coalesce(pair[0] == pair[1], F.lit(False))
+    return F.lit(False) if pair is None or _class(c) == "dict" else pair[0] == pair[1]
+
+
+def _equals(v: Column, kind: T.DataType, c: Any) -> Column:
+    return F.coalesce(_same(v, kind, c), F.lit(False))
+
+
+def _among(v: Column, kind: T.DataType, values: list) -> Column:
+    """v is one of the values; null where v is. Whole numbers and strings are looked up together, as a scan can."""
+    plain: list[Any] = []
+    if isinstance(kind, (T.IntegralType, T.StringType)):
+        own = int if isinstance(kind, T.IntegralType) else str
+        plain = [c for c in values if type(c) is own]
+    other = [_same(v, kind, c) for c in values if not any(c is p for p in plain)]
+    return functools.reduce(operator.or_, [v.isin(plain)] * bool(plain) + other) if values else F.lit(False)
 
 
 def _compare(v: Column, kind: T.DataType, op: str, c: Any) -> Column:
     no = F.lit(False)
     if op == "eq":
-        return _equals(v, kind, c)
+        return _same(v, kind, c)
     if op == "ne":
         return ~_equals(v, kind, c)
     if op in _ORDER:
@@ -182,15 +208,15 @@ def _compare(v: Column, kind: T.DataType, op: str, c: Any) -> Column:
     if op == "between":
         if not isinstance(c, (list, tuple)) or len(c) != 2:
             return no
-        return F.coalesce(_compare(v, kind, "gte", c[0]), no) & F.coalesce(_compare(v, kind, "lte", c[1]), no)
+        return _compare(v, kind, "gte", c[0]) & _compare(v, kind, "lte", c[1])
     if op in _TEXT:
         pair = _typed(v, kind, c) if isinstance(c, str) else None
         return _TEXT[op](pair[0], c) if pair and _class(kind) != "time" else no
     if op in ("in", "nin"):
         if not isinstance(c, (list, tuple, set)):
             raise QuerySyntaxError(f"{op} takes a list")
-        found = functools.reduce(operator.or_, [_equals(v, kind, x) for x in c], no)
-        return found if op == "in" else ~found
+        found = _among(v, kind, list(c))
+        return found if op == "in" else ~F.coalesce(found, no)
     if op in ("contains_any", "contains_all"):
         if not isinstance(kind, T.ArrayType) or not isinstance(c, (list, tuple, set)):
             return no
@@ -270,9 +296,9 @@ def parse_filter(spec: Any) -> Filter | None:
 
 
 def where(df: DataFrame, spec: Any) -> DataFrame:
-    """The rows that a filter (in any form, or None) lets through; it is an ordinary predicate, so Spark pushes it down."""
+    """The rows that a filter (in any form, or None) lets through; comparisons stand bare, so Spark pushes them down."""
     f = parse_filter(spec)
-    return df if f is None else df.filter(f.column(df.schema))
+    return df if f is None else df.filter(f.predicate(df.schema))
 
 
 class FilterBuilder:

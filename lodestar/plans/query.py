@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.errors import QuerySyntaxError
+from lodestar.errors import QuerySyntaxError, QueryTimeout
 from lodestar.operators import dml, search
-from lodestar.operators.filters import And, Field, Filter, Not, Or, parse_filter, where
+from lodestar.operators.filters import And, Field, Filter, parse_filter, where
 
 KINDS = ("search", "filter", "hybrid", "get", "count", "aggregate")
 #: The operators of the mini-language, longest first.
@@ -120,12 +122,38 @@ class Result:
     seconds: float | None = None
     rows: int | None = None
 
-    def collect(self) -> list:
-        began = time.time()
-        out = self.frame.collect()
+    def collect(self, timeout: float | None = None) -> list:
+        """The rows. After ``timeout`` seconds the query's jobs are cancelled and QueryTimeout is raised."""
+        began, late = time.time(), threading.Event()
+        spark, tag = self.frame.sparkSession, f"query-{uuid.uuid4().hex}"
+
+        def stop() -> None:
+            late.set()
+            spark.interruptTag(tag)
+
+        timer = threading.Timer(timeout, stop) if timeout is not None else None
+        spark.addTag(tag)
+        try:
+            if timer:
+                timer.start()
+            out = self.frame.collect()
+        except Exception as e:
+            if late.is_set():
+                raise QueryTimeout(f"the query took more than {timeout} s") from e
+            raise
+        finally:
+            spark.removeTag(tag)
+            if timer:
+                timer.cancel()
         self.seconds, self.rows = time.time() - began, len(out)
         return out
 
+    def estimate(self) -> dict[str, int | None]:
+        """What Catalyst expects of the optimized plan: bytes and, where statistics are known, rows."""
+        stats = self.frame._jdf.queryExecution().optimizedPlan().stats()
+        rows = stats.rowCount()
+        return {"bytes": int(stats.sizeInBytes().toString()), "rows": int(rows.get().toString()) if rows.isDefined() else None}
+
     def explain(self) -> str:
         return self.frame._jdf.queryExecution().explainString(self.frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
@@ -183,24 +211,3 @@ class Executor:
 
     def explain(self, query: str | dict | QuerySpec) -> str:
         return self.execute(query).explain()
-
-
-def selectivity(f: Filter | None) -> float:
-    """A guess of the share of rows a filter lets through: equality 0.1, order 0.3, others 0.5; independent parts."""
-    if f is None:
-        return 1.0
-    if isinstance(f, Field):
-        return 0.1 if f.op in ("eq", "in") else 0.3 if f.op in ("gt", "gte", "lt", "lte") else 0.5
-    if isinstance(f, Not):
-        return 1 - selectivity(f.filter)
-    out = 1.0
-    for x in f.filters:
-        out *= selectivity(x) if isinstance(f, And) else 1 - selectivity(x)
-    return 1 - out if isinstance(f, Or) else out
-
-
-def complexity(f: Filter | None) -> int:
-    """The number of conditions."""
-    if f is None or isinstance(f, Field):
-        return int(f is not None)
-    return complexity(f.filter) if isinstance(f, Not) else sum(map(complexity, f.filters))

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.errors import QuerySyntaxError
+from lodestar.errors import QuerySyntaxError, QueryTimeout
 from lodestar.operators.filters import And, Field, FilterBuilder, Not, Or, from_dict, indexed_fields, parse_filter, where
-from lodestar.plans.query import complexity, parse_query, parse_string, parse_value, selectivity
+from lodestar.plans.query import Result, parse_query, parse_string, parse_value
 
 ROWS = [
     (1, "Anna", 5, 1.5, True, ["a", "b"], {"deep": {"n": 1}}, '{"n": 1, "s": "5", "l": [1, 2], "o": {"x": 3}, "t": true}'),
@@ -82,8 +82,20 @@ def test_language(df):
             parse_query(bad)
 
 
-def test_guesses(df):
-    a, b = Field("x", "eq", 1), Field("x", "gt", 1)
-    assert selectivity(None) == 1 and selectivity(And([a, b])) == pytest.approx(0.03) and selectivity(Or([a, b])) == pytest.approx(0.37) and selectivity(Not(a)) == 0.9
-    assert complexity(And([a, Not(b)])) == 2
+def test_indexed_fields(df):
     assert "s.deep.n" in indexed_fields(df.schema)
+
+
+@pytest.mark.parametrize(("spec", "pushed"), [({"x": 3}, "EqualTo(x,3)"), ({"x": {"$in": [1, 5]}}, "In(x, [1,5])"), ({"x": {"$between": [2, 4]}}, "LessThanOrEqual(x,4)"), ({"y": {"$startswith": "a"}}, "StringStartsWith(y,a)"), ({"$or": [{"x": 1}, {"y": "a"}]}, "Or(EqualTo(x,1),EqualTo(y,a))"), ({"x": {"$is_not_null": True}, "y": "a"}, "IsNotNull(x)")])
+def test_pushed(spark, tmp_path, spec, pushed):
+    spark.range(100).withColumn("x", F.col("id") % 7).withColumn("y", F.lit("a")).write.parquet(str(tmp_path / "t"))
+    plan = where(spark.read.parquet(str(tmp_path / "t")), spec)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan[plan.index("PushedFilters") :]
+
+
+def test_timeout(spark):
+    slow = spark.range(4).repartition(2).mapInPandas(lambda batches: (__import__("time").sleep(20) or b for b in batches), "id long")
+    with pytest.raises(QueryTimeout):
+        Result(slow, None).collect(timeout=1)
+    fast = Result(spark.range(5), None)
+    assert len(fast.collect(timeout=60)) == fast.rows == 5 and fast.estimate()["bytes"] > 0
