@@ -124,27 +124,27 @@ class Result:
 
     def collect(self, timeout: float | None = None) -> list:
         """The rows. After ``timeout`` seconds the query's jobs are cancelled and QueryTimeout is raised."""
-        began, late = time.time(), threading.Event()
-        spark, tag = self.frame.sparkSession, f"query-{uuid.uuid4().hex}"
-
-        def stop() -> None:
-            late.set()
-            spark.interruptTag(tag)
-
-        timer = threading.Timer(timeout, stop) if timeout is not None else None
-        spark.addTag(tag)
+        began, late, done = time.time(), threading.Event(), threading.Event()
+        context, tag = self.frame.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}"
+
+        def watch() -> None:
+            if not done.wait(timeout):
+                late.set()
+                while not done.wait(0.2):  # a stage that starts only now is cancelled as well
+                    context.cancelJobsWithTag(tag)
+
+        context.addJobTag(tag)
+        if timeout is not None:
+            threading.Thread(target=watch, daemon=True).start()
         try:
-            if timer:
-                timer.start()
             out = self.frame.collect()
         except Exception as e:
             if late.is_set():
                 raise QueryTimeout(f"the query took more than {timeout} s") from e
             raise
         finally:
-            spark.removeTag(tag)
-            if timer:
-                timer.cancel()
+            done.set()
+            context.removeJobTag(tag)
         self.seconds, self.rows = time.time() - began, len(out)
         return out
 
@@ -152,7 +152,7 @@ class Result:
         """What Catalyst expects of the optimized plan: bytes and, where statistics are known, rows."""
         stats = self.frame._jdf.queryExecution().optimizedPlan().stats()
         rows = stats.rowCount()
-        return {"bytes": int(stats.sizeInBytes().toString()), "rows": int(rows.get().toString()) if rows.isDefined() else None}
+        return {"bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None}
 
     def explain(self) -> str:
         return self.frame._jdf.queryExecution().explainString(self.frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
