@@ -4,12 +4,14 @@ Every distinct shingle set gets minwise tokens. A tree branches the sets by a ch
 node is small; small nodes are compared exhaustively, first by their tokens, then on full sets. Independent trees are
 repeated until a pair at the threshold is found with the wanted probability: a pair of similarity s shares the first
 node of a tree with probability s, so n trees miss it with (1 - s) ** n, at most MISS at the threshold.
-Nodes that never become small are cut into blocks of which every pair is compared.
 
-A pair comes along to a deeper level only with a chance of about its similarity, so trees alone lose links within large
-first nodes. Sets of such nodes are therefore joined once more by prefixes of their full sets, which is exact: in an
-order of shingles from rare to common, two sets at the threshold share one of the first n - ceil(percent * n / 100) + 1 shingles of both.
-Only sets that the trees have not yet brought together are compared there.
+First nodes are dealt out by Spark; one with up to CROWD sets branches on within its task, so a set is one row for each
+tree however deep the tree goes there. A pair comes along to a deeper level only with a chance of about its similarity,
+so a large node is branched anew, by other tokens, as often as its depth asks for (``_repeats``), and no deeper than
+DEPTH levels, below which all pairs are compared.
+
+Two trees are walked first, and the links in them contracted to components. The large nodes of the other trees only
+compare sets of different components, so a group of near copies costs its size for each tree and not its square.
 """
 
 from __future__ import annotations
@@ -21,20 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint, small_or_not
+from lodestar.llm.common import checkpoint, n_partitions, small_or_not
 from lodestar.llm.components import components
 from lodestar.llm.shingles import as_bytes, bounds, mix, shingle_sets, whole_groups
 
 SIZE = 5
-#: Counters of the sketch that orders shingles from rare to common, and counters in one of its rows.
-COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: 100 * intersection >= percent * union links two sets; PERCENT is the contract of op10.
 PERCENT = 85
-TOKENS, NODE = 64, 300
-#: Chance to miss a pair at the threshold in the first nodes of all trees.
-MISS = 0.15**20
-#: Levels of a tree below the first, as they are looked at together.
-LEVELS = ((2, 2), (3, 4), (5, 7), (8, 14))
+#: Tokens of a set; sets of a node that are compared exhaustively, and that a task branches on; levels of branching;
+#: trees that are walked before links are contracted, and sets that each block of such a tree's deepest nodes shares.
+TOKENS, NODE, CROWD, DEPTH, FIRST, PIVOTS = 64, 300, 8192, 12, 2, 8
+#: Levels by which Spark itself branches a node of more than CROWD sets; below them it is cut into pairs of blocks.
+LEVELS = 4
+#: Chance to miss a pair at the threshold in the first nodes of all trees, and within large nodes.
+MISS, MISS_DEEP = 0.15**20, 1e-3
 _A = np.random.default_rng(7).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, TOKENS, dtype=np.uint64)
 
@@ -57,23 +59,34 @@ def _tokens(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _vertex(s: np.ndarray) -> int:
-    """64 bits that stand for a whole set; 0 for the empty one."""
+def _repeats(percent: int, depth: int) -> int:
+    """How often a large node is branched anew if it went ``depth`` levels down, for a miss of at most MISS_DEEP.
+
+    Tokens of a pair at the threshold agree with a frequency that varies around it, as there are only TOKENS of them;
+    half a standard deviation less is reckoned with.
+    """
+    s = percent / 100
+    s -= 0.5 * (s * (1 - s) / TOKENS) ** 0.5
+    return int(np.ceil(np.log(MISS_DEEP) / (np.log1p(-(s**depth)) * s * _trees(percent)))) if s < 1 else 1
+
+
+def _vertex(s: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set; none for the empty one."""
     if not len(s):
-        return 0
-    h = np.array([(mix(s ^ np.uint64(0x5851F42D4C957F2D))).sum() + np.uint64(len(s))], np.uint64)
-    return int(mix(h).view(np.int64)[0]) or 1
+        return b""
+    h = [mix(s ^ np.uint64(c)).sum() + np.uint64(len(s)) for c in (0x5851F42D4C957F2D, 0x9FB21C651E98DF25)]
+    return mix(np.array(h, np.uint64)).tobytes()
 
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, vs, ts = [], [], []
+            ns, hs, ts = [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 ns.append(len(s))
-                vs.append(_vertex(s))
+                hs.append(_vertex(s))
                 ts.append(_tokens(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), pa.array(ts, pa.binary())], ["doc_id", "n", "v", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(ns, pa.int64()), pa.array(hs, pa.binary()), pa.array(ts, pa.binary())], ["doc_id", "t", "n", "h", "tokens"])
 
     return run
 
@@ -96,121 +109,33 @@ def _first_level(trees: int):
     return run
 
 
-def _deeper(first: int, last: int):
-    """The nodes of each set on levels ``first`` to ``last`` of a tree: the path so far chooses the next token."""
+def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The node of each set one level deeper: the path so far chooses the next token."""
+    for batch in batches:
+        m, path = _matrix(batch.column("tokens")), batch.column("key").to_numpy().view(np.uint64)
+        chosen = (mix(path ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(TOKENS)).astype(np.int64)
+        path = mix(path + m[np.arange(len(m)), chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(33)))
+        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("tree"), batch.column("v")], ["key", "tree", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, v, tree = _matrix(batch.column("tokens")), batch.column("v").to_numpy(), batch.column("tree").to_numpy()
-            path, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(len(v))
-            for depth in range(first, last + 1):
-                chosen = (mix(path ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(TOKENS)).astype(np.int64)
-                path = mix(path + m[rows, chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(33)))
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(np.full(len(v), depth, np.int32)), pa.array(tree), pa.array(v)], ["key", "depth", "tree", "v"])
 
-    return run
+def _sized(nodes: DataFrame) -> DataFrame:
+    """nodes (key, tree, v) with their number of sets, n, without those of one set."""
+    return checkpoint(nodes.join(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
 
 
-def _nodes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``key, v``: the nodes in which sets are compared, none larger than NODE; ``v``: the sets of large first nodes."""
-    first = sets.select("v", "tokens").mapInArrow(_first_level(_trees(percent)), "key long, tree int, v long")
-    counts = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpoint(first.join(counts, "key"))
-    nodes = members.filter(F.col("n") <= NODE).select("key", "v")
-    last = members.filter(F.col("n") > NODE).select("key", "n", "tree", "v")
-    crowded = last.select("v").distinct()
-    # most sets part from each other within a few levels; only what is left goes on to the next
-    for lo, hi in LEVELS:
+def _nodes(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, tree, v, n``: the first nodes of all trees, in place of those of more than CROWD sets what they branch into."""
+    found = _sized(sets.select("v", "tokens").mapInArrow(_first_level(_trees(percent)), "key long, tree int, v long"))
+    nodes, last = found.filter(F.col("n") <= CROWD), found.filter(F.col("n") > CROWD)
+    for _ in range(LEVELS):
         if last.isEmpty():
-            return nodes, crowded
-        deep = last.join(sets.select("v", "tokens"), "v").select("key", "tree", "v", "tokens").mapInArrow(_deeper(lo, hi), "key long, depth int, tree int, v long")
-        depths = deep.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        # the first level at which the set's node is small, or else the last
-        rank = F.when(F.col("n") <= NODE, F.col("depth")).otherwise(100 - F.col("depth"))
-        reached = deep.join(depths, "key").groupBy("tree", "v").agg(F.min(F.struct(rank.alias("rank"), "key", "n")).alias("at")).select("at.key", "at.n", "tree", "v").filter("n > 1")
-        reached = checkpoint(reached)
-        nodes = nodes.unionByName(reached.filter(F.col("n") <= NODE).select("key", "v"))
-        last = reached.filter(F.col("n") > NODE)
-    block, blocks = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / (NODE // 2))), F.ceil(F.col("n") / (NODE // 2))
+            return nodes
+        found = _sized(last.join(sets.select("v", "tokens"), "v").mapInArrow(_next_level, "key long, tree int, v long"))
+        nodes, last = nodes.unionByName(found.filter(F.col("n") <= CROWD)), found.filter(F.col("n") > CROWD)
+    blocks = F.ceil(F.col("n") / (CROWD // 2))
+    block = F.pmod(F.xxhash64("v"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.xxhash64("key", F.least(x, block), F.greatest(x, block)))
-    large = last.filter(F.col("n") > NODE).select(F.explode(pairs).alias("key"), "v")
-    return nodes.unionByName(large), crowded
-
-
-def _slots(s: np.ndarray) -> np.ndarray:
-    return (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def _counted(size: int):
-    """How many sets of a partition fall on each counter, up to 255, in chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text"), size) if len(s)]
-            for i in range(0, len(sets), 1000):
-                counts += np.bincount(_slots(np.concatenate(sets[i : i + 1000])), minlength=COUNTERS)
-        full = [(i, c) for i, c in enumerate(np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)) if c.any()]
-        if full:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([c.tobytes() for _, c in full], pa.binary())], ["chunk", "counts"])
-
-    return run
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of each chunk; a partition holds all rows of its chunks."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[i] = sums.get(i, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
-
-
-def _prefixes(size: int, percent: int, counts: np.ndarray):
-    """The rarest shingles of each set, of which sets at the threshold share one. Any order is right; this makes groups small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vs, keys = [], []
-            for s in shingle_sets(batch.column("text"), size):
-                order = np.lexsort((s, counts[_slots(s)]))
-                vs.append(_vertex(s))
-                keys.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(vs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "v", "keys"])
-
-    return run
-
-
-def _apart(rows: DataFrame, crowded: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
-    """``key, v, root``: groups that hold each pair of sets at the threshold whose roots differ.
-
-    rows: ``doc_id, text``; crowded: ``doc_id, v`` of the sets to look at; roots: ``v, root`` of those already linked.
-    Of a shingle's sets those of the commonest root are one side, all others the other; blocks of both sides meet, and
-    blocks of the other side meet each other, so a family that is already linked is not compared with itself.
-    """
-    counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for r in rows.select("text").mapInArrow(_counted(size), "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
-        counts[r.chunk] = np.frombuffer(r.counts, np.int64)
-    prefixes = rows.mapInArrow(_prefixes(size, percent, counts.ravel()), "doc_id long, v long, keys array<long>")
-    prefixes = checkpoint(prefixes.join(crowded, ["doc_id", "v"]).join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "keys"))
-    keys = prefixes.select(F.explode("keys").alias("key"), "v", "root")
-    sides = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
-    sides = sides.filter(F.col("n") > F.col("most.n")).select("key", F.col("most.root").alias("first"), F.ceil(F.col("most.n") / (NODE // 2)).alias("a"), F.ceil((F.col("n") - F.col("most.n")) / (NODE // 2)).alias("b"))
-    sides = small_or_not(checkpoint(sides), F.lit(40))
-    own = F.pmod(F.xxhash64("v"), F.when(F.col("root") == F.col("first"), F.col("a")).otherwise(F.col("b")))
-
-    def upto(n: str):
-        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-
-    left = F.transform(upto("b"), lambda x: F.xxhash64("key", F.lit(0), F.col("own"), x))
-    right = F.transform(upto("a"), lambda x: F.xxhash64("key", F.lit(0), x, F.col("own")))
-    # with a single block the other side meets itself beside the first one
-    among = F.when(F.col("b") > 1, F.transform(upto("b"), lambda x: F.xxhash64("key", F.lit(1), F.least(x, "own"), F.greatest(x, "own")))).otherwise(F.array().cast("array<bigint>"))
-    met = keys.join(sides, "key").withColumn("own", own)
-    return met.select(F.explode(F.when(F.col("root") == F.col("first"), left).otherwise(F.concat(right, among))).alias("key"), "v", "root")
+    return nodes.unionByName(last.select(F.explode(pairs).alias("key"), "tree", "v", F.lit(CROWD).cast("long").alias("n")))
 
 
 def _parts(link: np.ndarray) -> np.ndarray:
@@ -225,44 +150,84 @@ def _parts(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _likely(percent: int):
+def _leaves(m: np.ndarray, root: np.ndarray, seed: int, first: bool, node: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(depth, rows) of the small nodes that a large one branches into; rows of a single root are left out.
+
+    Of a node that is large even at DEPTH all pairs meet in some leaf; if ``first``, blocks only share PIVOTS rows.
+    """
+    stack = [(np.arange(len(m)), np.uint64(seed), np.arange(TOKENS), 0)]
+    while stack:
+        at, path, left, depth = stack.pop()
+        if (root[at] == root[at[0]]).all():
+            continue
+        if len(at) <= node:
+            yield depth, at
+        elif depth == DEPTH or not len(left):
+            at = at[np.argsort(root[at], kind="stable")]
+            half = max(1, node // 2)
+            parts = [at[i : i + half] for i in range(0, len(at), half)]
+            if first:
+                yield from ((depth, np.union1d(at[:: -(-len(at) // PIVOTS)], p)) for p in parts)
+            else:
+                yield from ((depth, np.concatenate((p, q))) for i, p in enumerate(parts) for q in parts[i + 1 :])
+        else:
+            chosen = int(mix(np.array([path ^ np.uint64(0xA0761D6478BD642F)]))[0] % np.uint64(len(left)))
+            token = m[at, left[chosen]]
+            order = np.argsort(token, kind="stable")
+            cuts = bounds(token[order])
+            rest = np.delete(left, chosen)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1:
+                    stack.append((at[order[a:b]], mix(np.array([path + np.uint64(token[order[a]])]))[0], rest, depth + 1))
+
+
+def _linked(m: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Which sets their tokens may link, of those with different roots."""
+    same = np.zeros((len(m), len(m)), np.int16)
+    for t in range(TOKENS):
+        same += m[:, t, None] == m[None, :, t]
+    return (root[:, None] != root) & (same >= least) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+
+
+def _likely(percent: int, first: bool, node: int):
     """In each node the groups of sets that their tokens may link; the same group has the same name in every tree.
 
-    Where rows have a root, sets of the same root are linked already and not compared.
+    Sets of the same root are linked already and not compared.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups_of(m: np.ndarray, n: np.ndarray, root: np.ndarray, key: int) -> Iterator[np.ndarray]:
+        """Places of the sets of each group of a node."""
         least = _least(percent)
+        if len(m) == 2:
+            if root[0] != root[1] and (m[0] == m[1]).sum() >= least and 100 * n.min() >= percent * n.max():
+                yield np.arange(2)
+            return
+        deepest, again = 0, 0
+        while True:
+            for depth, at in _leaves(m, root, (key + again * 0x9E3779B97F4A7C15) % 2**64, first, node):
+                deepest = max(deepest, depth)
+                label = _parts(_linked(m[at], n[at], root[at], percent, least))
+                yield from (g for x in np.unique(label) if len(g := at[label == x]) > 1)
+            again += 1
+            if first or not deepest or again >= _repeats(percent, deepest):
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
-            keys, v, n = (table.column(c).to_numpy() for c in ("key", "v", "n"))
+            keys, v, n, root = (table.column(c).to_numpy() for c in ("key", "v", "n", "root"))
             m = _matrix(table.column("tokens"))
-            root = table.column("root").to_numpy() if "root" in table.column_names else v
-            names, members = [], []
+            names, members, roots = [], [], []
             at = bounds(keys)
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                if b - a == 2:
-                    if root[a] != root[a + 1] and (m[a] == m[a + 1]).sum() >= least and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
-                        groups = [v[a:b]]
-                    else:
-                        continue
-                elif b - a > 2 and (root[a:b] != root[a]).any():
-                    ms, ns = m[a:b], n[a:b]
-                    same = np.zeros((b - a, b - a), np.int16)
-                    for t in range(TOKENS):
-                        same += ms[:, t, None] == ms[None, :, t]
-                    link = (root[a:b, None] != root[a:b]) & (same >= least) & (100 * np.minimum(ns[:, None], ns) >= percent * np.maximum(ns[:, None], ns))
-                    label = _parts(link)
-                    groups = [g for x in np.unique(label) if len(g := v[a:b][label == x]) > 1]
-                else:
-                    continue
-                for g in groups:
-                    g = np.unique(g)
-                    if len(g) > 1:
-                        name = mix((mix(g.view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).sum(keepdims=True))
+            with np.errstate(over="ignore"):
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    for g in groups_of(m[a:b], n[a:b], root[a:b], int(keys[a])) if b - a > 1 else ():
+                        g = a + g[np.argsort(v[a + g], kind="stable")]
+                        name = mix((mix(v[g].view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).sum(keepdims=True))
                         names.append(np.repeat(name.view(np.int64), len(g)))
-                        members.append(g)
+                        members.append(v[g])
+                        roots.append(root[g])
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["name", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members, roots)], ["name", "v", "root"])
 
     return run
 
@@ -270,9 +235,7 @@ def _likely(percent: int):
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text"), size)]
-            same = [_vertex(s) == v for s, v in zip(sets, batch.column("v").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("v").filter(pa.array(same, pa.bool_())), pa.array([s.tobytes() for s, x in zip(sets, same, strict=True) if x], pa.binary())], ["v", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())], ["v", "items"])
 
     return run
 
@@ -282,7 +245,7 @@ def _confirmed(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "name"):
-            keys, v = table.column("name").to_numpy(), table.column("v").to_numpy()
+            keys, v, root = (table.column(c).to_numpy() for c in ("name", "v", "root"))
             data, offsets = as_bytes(table.column("items"))
             at, left, right = bounds(keys), [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
@@ -292,7 +255,7 @@ def _confirmed(percent: int):
                 n = np.array([len(s) for s in sets])
                 _, ids = np.unique(np.concatenate(sets), return_inverse=True)
                 begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-                part, mark = np.arange(len(rows)), np.zeros(int(ids.max()) + 1, np.int64)
+                part, mark = np.unique(root[rows], return_inverse=True)[1], np.zeros(int(ids.max()) + 1, np.int64)
                 for i in range(len(rows) - 1):
                     own = ids[begin[i] : begin[i] + n[i]]
                     mark[own] = 1
@@ -312,49 +275,73 @@ def _confirmed(percent: int):
     return run
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """``doc_id, t, n, root`` for each row of docs: the text's hash, the size of its set, and what stands for its component.
+
+    root is null where a row is linked with nothing by definition: its set is empty or its id null.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("t"))
+    base = checkpoint(rows.mapInArrow(_sketches(size), "doc_id long, t binary, n long, h binary, tokens binary"))
+    known = base.filter("n > 0 and doc_id is not null")
+    # what equal sets have is equal, so whichever row comes first will do; numbers are fixed by the checkpoint
+    sets = known.groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = checkpoint(sets.select(F.monotonically_increasing_id().alias("v"), "h", "rep.doc_id", "rep.t", "n", "tokens"))
+    parts = 2 * n_partitions(docs.sparkSession)
+
+    def links_in(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+        near = nodes.select("key", "v").join(sets.select("v", "n", "tokens"), "v")
+        near = near.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")) if roots is not None else near.withColumn("root", F.col("v"))
+        likely = near.select("key", "v", "root", "n", "tokens").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely(percent, roots is None, NODE), "name long, v long, root long")
+        likely = checkpoint(likely.distinct())
+        wanted = likely.select("v").distinct().join(sets.select("v", "doc_id", "t"), "v").select("v", F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+        wanted = small_or_not(checkpoint(wanted), F.lit(48))
+        # rows that are equal in id and text have the same set
+        full = rows.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("t") == F.col("__t"))).select("v", "text").mapInArrow(_full_sets(size), "v long, items binary")
+        return likely.join(full, "v").select("name", "v", "root", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed(percent), "a long, b long")
+
+    nodes = _nodes(sets, percent)
+    large = F.col("n") > NODE
+    roots = components(links_in(nodes.filter(~large | (F.col("tree") < FIRST)), None))
+    nodes = nodes.filter(large & (F.col("tree") >= FIRST))
+    if not nodes.isEmpty():
+        more = links_in(nodes, roots)
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
+    labels = sets.select("v", "h").join(roots, "v", "left").select("h", F.coalesce("root", "v").alias("root"))
+    out = base.select("doc_id", "t", "n", "h").join(labels, "h", "left")
+    return out.select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: ``doc_id, n_shingles, component_id, kept``.
 
     A text's set: its distinct ``size``-word shingles, A-Z lower-cased; the whole sequence if it has fewer words; empty
     without words or text. Sets with 100 * intersection >= percent * union are linked, and component_id is the least id
-    that links reach. Empty sets are linked with nothing. Equal sets are linked, and stand for one vertex, so large
-    groups of copies are no burden. Rows without an id are never linked: their component is null and they are kept.
-    Rows that repeat an id are copies if their texts are equal, and else count as documents of their own. Ids must be
-    whole numbers. An empty table gives no rows.
+    that links reach. Empty sets are linked with nothing. Equal sets (by 128 bits) are linked, and stand for one vertex,
+    so large groups of copies are no burden. Rows without an id are never linked: their component is null and they are
+    kept. Rows that repeat an id are copies if their texts are equal, and else count as documents of their own. Ids must
+    be whole numbers. An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = checkpoint(rows.mapInArrow(_sketches(size), "doc_id long, n long, v long, tokens binary"))
-    known = base.filter("n > 0 and doc_id is not null")
-    reps = known.groupBy("v").agg(F.min("doc_id").alias("rep"))
-    sets = checkpoint(known.join(reps.select("v", F.col("rep").alias("doc_id")), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", F.col("doc_id").alias("rep"), "n", "tokens"))
-    parts = spark_parts(docs)
-    nodes, crowded = _nodes(sets, percent)
-
-    def texts_of(v: DataFrame) -> DataFrame:
-        wanted = v.join(sets.select("v", F.col("rep").alias("doc_id")), "v")
-        return rows.join(wanted, "doc_id").select("v", "text").mapInArrow(_full_sets(size), "v long, items binary")
-
-    def links_in(nodes: DataFrame) -> DataFrame:
-        near = nodes.join(sets.select("v", "n", "tokens"), "v").select(*nodes.columns, "n", "tokens")
-        likely = near.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely(percent), "name long, v long")
-        likely = checkpoint(likely.distinct())
-        full = texts_of(likely.select("v").distinct())
-        return likely.join(full, "v").select("name", "v", "items").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_confirmed(percent), "a long, b long")
-
-    roots = components(links_in(nodes))
-    crowded = checkpoint(crowded.join(sets.select("v", F.col("rep").alias("doc_id")), "v"))
-    if not crowded.isEmpty():
-        more = links_in(_apart(rows, crowded, roots, size, percent))
-        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
-    labelled = sets.select("v", "rep").join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = labelled.join(least, "root").select("v", "component_id")
-    out = base.select("doc_id", "n", "v").join(of, "v", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    rows = checkpoint(_labelled(docs, doc_id, text, size, percent))
+    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "root", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def spark_parts(df: DataFrame) -> int:
-    """Partitions for explicit shuffles: twice the session's, since groups of a node are uneven."""
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least id, and of rows of that id the least text hash.
+
+    Rows without an id all stay; texts without words are linked with nothing; of rows that are equal in id and text one
+    stays. A row is told by id and text, so a document that shares its id with a copy stays. Columns pass through.
+    """
+    found = checkpoint(_labelled(docs, doc_id, text, size, percent))
+    grouped = found.filter("root is not null")
+    best = checkpoint(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("best")))
+    gone = grouped.join(best, "root").filter(F.struct("doc_id", "t") != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    gone = small_or_not(checkpoint(gone), F.lit(40))
+    left = docs.withColumn("__own", own).join(gone, (F.col(doc_id).cast("long") == F.col("__id")) & (F.col("__own") == F.col("__t")), "left_anti")
+    if not found.filter("doc_id is not null").groupBy("doc_id", "t").count().filter("count > 1").isEmpty():
+        known = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "__own"])
+        left = left.filter(F.col(doc_id).isNull()).unionByName(known)
+    return left.select(*docs.columns)
