@@ -166,12 +166,23 @@ FROM p LEFT JOIN b USING (page_id)
 """
 
 SQL["op6_sentence_spans"] = """
-WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents),
-r AS (SELECT doc_id, unnest(range(0, len(s) - 2)) AS i, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i:i + 2])) AS run FROM d),
-f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM r),
-g AS (SELECT doc_id, list_distinct(flatten(list([i + 1, i + 2, i + 3]))) AS gone FROM f WHERE n > 1 GROUP BY doc_id),
-k AS (SELECT d.doc_id, s, coalesce(gone, []) AS gone, list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, len(s)::BIGINT AS n_sentences, (len(s) - len(kept))::BIGINT AS n_removed, array_to_string(kept, ' ') AS text FROM k
+WITH t AS (SELECT doc_id, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') AS l FROM documents)),
+u AS (SELECT doc_id, tok, k, translate(regexp_replace(tok, '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+             (regexp_matches(tok, '[.!?,;:][\\x20\\x09-\\x0D]*$') OR regexp_matches(tok, '[\\r\\n]'))::INT AS over FROM t),
+v AS (SELECT *, coalesce(sum(over) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS i FROM u),
+s AS MATERIALIZED (SELECT doc_id, i, min(k) AS a, max(k) AS e, string_agg(tok, '' ORDER BY k) AS sentence FROM v GROUP BY doc_id, i),
+d AS MATERIALIZED (SELECT doc_id, list(w ORDER BY k) AS w, max(i) + 1 AS n FROM v GROUP BY doc_id),
+x AS (SELECT s.*, s2.i AS j20 FROM s ASOF LEFT JOIN s s2 ON s.doc_id = s2.doc_id AND s.a + 19 <= s2.e),
+y AS (SELECT x.*, s3.i AS j50 FROM x ASOF LEFT JOIN s s3 ON x.doc_id = s3.doc_id AND x.a + 49 <= s3.e),
+z AS (SELECT y.doc_id, y.i, a, least(greatest(y.i + 2, coalesce(j20, 1e9)), coalesce(j50, 1e9))::BIGINT AS j, n, w FROM y JOIN d USING (doc_id)),
+r AS (SELECT doc_id, i, a, w, CASE WHEN n < 3 AND i = 0 AND len(w) >= 20 THEN least(j, n - 1) ELSE j END AS j, n FROM z),
+h AS (SELECT r.doc_id, r.i, r.j, md5(array_to_string(w[r.a:s.e], ' ')) AS run FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.j),
+f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS c FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE c > 1),
+k AS (SELECT s.doc_id, count(*) AS n, count(g.i) AS gone, string_agg(sentence, '' ORDER BY s.i) FILTER (g.i IS NULL) AS text FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(gone, 0)::BIGINT AS n_removed,
+       regexp_extract(coalesce(documents.text, ''), '^[\\x20\\x09-\\x0D]*') || coalesce(k.text, '') AS text
+FROM documents LEFT JOIN k USING (doc_id)
 """
 
 SQL["op9_exact_topk"] = """

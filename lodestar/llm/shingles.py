@@ -64,10 +64,10 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one more entry than texts)."""
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where all words begin and end, in bytes; no word goes from one text into the next."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _IS_SPACE[data]
     edge = np.empty(len(data) + 1, dtype=bool)
     edge[1:] = edge[0] = True
@@ -76,12 +76,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(~space & edge[:-1])
     edge[:-1] = space
     edge[offsets] = True
-    ends = np.flatnonzero(~space & edge[1:]) + 1
+    return starts, np.flatnonzero(~space & edge[1:]) + 1
+
+
+def hashes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings between starts and ends, A-Z lower-cased."""
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_LOWER[data] * up, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[0]
-    return mix(h), np.searchsorted(starts, offsets)
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[0]) if len(starts) else np.zeros(0, np.uint64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one more entry than texts)."""
+    starts, ends = word_places(data, offsets)
+    return hashes_at(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

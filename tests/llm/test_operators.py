@@ -236,28 +236,69 @@ def test_url_filter(spark):
 # 6
 
 
-def test_sentence_spans(docs, rows, none):
-    def split(t):
-        return [x for x in (s.strip(" ") for s in re.split(r"(?<=[.!?])[ \t]+|[\r\n]+", t or "")) if x]
-
-    order = sorted({(r[0] if r[0] is not None else 2**63 - 1, hashlib.md5((r[1] or "").encode()).digest(), r[1]) for r in rows}, key=lambda x: x[:2])
-    seen, gone = set(), collections.defaultdict(set)
-    for i, h, t in order:
-        s = split(t)
-        for k in range(len(s) - 2):
-            run = tuple(s[k : k + 3])
-            if run in seen:
-                gone[i, h].update((k, k + 1, k + 2))
-            seen.add(run)
-    want = collections.Counter()
+def cut_up(t):
+    """(start, end, words) of each sentence; from the first word to the next sentence's first word, or the text's end."""
+    found, out = list(WORD.finditer(t or "")), []
+    for k, m in enumerate(found):
+        if not k or out[-1][3]:
+            out.append([m.start(), 0, [], False])
+        after = t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)]
+        out[-1][1] = m.end() + len(after)
+        out[-1][2].append(re.sub("[A-Z]", lambda x: x.group().lower(), m.group()))
+        out[-1][3] = m.group()[-1] in ".!?,;:" or "\n" in after or "\r" in after
+    return [(a, b, w) for a, b, w, _ in out]
+
+
+def spans_of(s, span=3, words=20, long=50):
+    for i in range(len(s)):
+        held = []
+        for j in range(i, len(s)):
+            held += s[j][2]
+            if len(held) >= long or j - i + 1 >= span and len(held) >= words or len(s) < span and not i and j == len(s) - 1 and len(held) >= words:
+                yield i, j, tuple(held)
+                break
+
+
+def without_repeats(rows, **how):
+    last = 2**63 - 1
+    texts = {(r[0] if r[0] is not None else last, r[1] or ""): cut_up(r[1]) for r in rows}
+    found = collections.defaultdict(list)
+    for place, s in texts.items():
+        for i, j, w in spans_of(s, **how):
+            found[w].append((*place, i, j))
+    gone = collections.defaultdict(set)
+    for places in found.values():
+        for p in places:
+            if p[:3] != min(places)[:3]:
+                gone[p[:2]].update(range(p[2], p[3] + 1))
     for r in rows:
-        s, g = split(r[1]), gone[r[0] if r[0] is not None else 2**63 - 1, hashlib.md5((r[1] or "").encode()).digest()]
-        want[r[0], len(s), len(g), " ".join(x for k, x in enumerate(s) if k not in g)] += 1
-    out = sentence_spans.remove_repeated(docs)
+        t = r[1] or ""
+        s, g = cut_up(t), gone[r[0] if r[0] is not None else last, t]
+        kept = "".join(t[a:b] for k, (a, b, _) in enumerate(s) if k not in g)
+        yield r[0], len(s), len(g), t[: s[0][0] if s else len(t)] + kept
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 40])
+def test_sentence_spans(docs, rows, none, chunk, monkeypatch):
+    monkeypatch.setattr(sentence_spans, "CHUNK", chunk)
+    want = collections.Counter(without_repeats(rows))
+    out = sentence_spans.remove_repeated(docs.withColumn("id", F.lit("clash")).withColumn("marks", F.lit(1)))
     assert bag(out, "doc_id", "n_sentences", "n_removed", "text") == want and out.filter("n_removed > 0").count()
     assert sentence_spans.remove_repeated(none).count() == 0
 
 
+def test_passages_in_other_texts(spark):
+    """A passage of over 50 words goes from every text but the first, whatever it stands in, but for a clause at its edges."""
+    rng, words = random.Random(31), vocabulary()
+    say = lambda n: " ".join(rng.choice(words) + rng.choice(words) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+    passage = say(65)
+    texts = [f"{say(30)} {passage} {say(30)}" for _ in range(20)] + [say(80) for _ in range(20)]
+    out = {r.doc_id: r for r in sentence_spans.remove_repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    middle = " ".join(passage.split(" ")[15:50])
+    assert [i for i, t in enumerate(texts) if out[i].text == t] == [0, *range(20, 40)]
+    assert middle in out[0].text and not any(middle in out[i].text for i in range(1, 20))
+
+
 # 7
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
