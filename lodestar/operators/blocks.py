@@ -1,7 +1,7 @@
-"""Blocks of vectors against blocks of queries, in numpy, without a cross join of rows.
+"""Blocks of queries against shards of vectors, in numpy, without a cross join of rows.
 
-Vectors are dealt into shards and queries into blocks of bounded size; every block meets every shard once, on a grid
-that is an equi-join. A task holds one shard and one block.
+Vectors are dealt into shards of bounded size and shuffled once. Only queries are copied, to every shard of vectors of
+their length, which reads them block by block. A task holds one shard and one block.
 """
 
 from __future__ import annotations
@@ -13,40 +13,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD, BLOCK = 8192, 256
+#: Components of a shard's vectors, and distances of a block of queries to them, that a task holds at a time.
+SHARD, BLOCK = 1 << 19, 1 << 21
 #: (query ids, queries, ids, vectors) to (query places, vector places, distances).
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _runner(pick: Pick) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = column.flatten()
-        ids = parts[0].to_numpy(zero_copy_only=False)
-        return ids, parts[1].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of lists of equal length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def stretches(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of rows that are equal in the named columns of whole numbers, with what they are equal in."""
+    keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+    n = batch.num_rows
+    cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if n > 1 else np.zeros(0, np.int64)
+    for a, b in zip([0, *cuts] if n else [], [*cuts, n], strict=False):
+        yield tuple(k[a].item() for k in keys), batch.slice(a, b - a)
 
+
+def _runner(pick: Pick) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, ids, vectors = None, [], None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                qids, q = matrix(batch.column("queries")[i].values)
-                ids, v = matrix(batch.column("vectors")[i].values)
-                a, b, d = pick(qids, q, ids, v)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(ids[b]), pa.array(d, pa.float64())], ["query_id", "id", "distance"])
+            for (d, s, asks), part in stretches(batch, ("d", "s", "asks")):
+                if here != (d, s):
+                    here, held, ids = (d, s), [], None
+                if not asks:
+                    held.append((part.column("id").to_numpy(zero_copy_only=False), matrix(part.column("vector"))))
+                    continue
+                if not held:
+                    continue
+                if ids is None:
+                    ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+                block = max(1, BLOCK // len(ids))
+                for i in range(0, part.num_rows, block):
+                    some = part.slice(i, block)
+                    qids = some.column("query_id").to_numpy(zero_copy_only=False)
+                    a, b, found = pick(qids, matrix(some.column("vector")), ids, vectors)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[a]).cast(some.column("query_id").type), pa.array(ids[b]).cast(some.column("id").type), pa.array(found, pa.float64())], ["query_id", "id", "distance"])
 
     return run
 
 
-def pairs(vectors: DataFrame, queries: DataFrame, pick: Pick) -> DataFrame:
-    """``query_id, id, distance`` of what ``pick`` takes from each block and shard.
+def dealt(vectors: DataFrame, queries: DataFrame, size: int, length: int | None = None) -> DataFrame:
+    """``d, s, asks, id, query_id, vector``: vectors in shards of about ``size`` components, and queries in every shard.
 
-    Both sides have columns id (long or string) and vector; rows with a null in them must be gone already.
+    Rows are partitioned and sorted by (d, s), with the vectors of a shard before its queries. d is the length of both
+    sides, or else queries, all of one length, meet the vectors of ``length``.
     """
-    shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).withColumn("d", F.size("vector"))
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("d", F.size("vector") if length is None else F.lit(length))
+    sizes = rows.groupBy("d").agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.first("d"), F.lit(1)) / size).alias("shards"))
+    here = rows.join(sizes, "d").select("d", F.pmod(F.xxhash64("id", "vector"), F.col("shards")).alias("s"), F.lit(0).alias("asks"), "id", F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "vector")
+    there = asked.join(sizes, "d").select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("s"), F.lit(1).alias("asks"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "query_id", "vector")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return here.unionByName(there).repartition(parts, "d", "s").sortWithinPartitions("d", "s", "asks")
+
+
+def pairs(vectors: DataFrame, queries: DataFrame, pick: Pick, length: int | None = None) -> DataFrame:
+    """``query_id, id, distance`` of what ``pick`` takes from each block and shard.
 
-    def packed(df: DataFrame, n: int, name: str, here: str) -> DataFrame:
-        df = df.select("id", F.col("vector").cast("array<double>").alias("vector"))
-        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(here)).agg(F.collect_list(F.struct("id", "vector")).alias(name))
+    Only vectors of a query's length meet it, or those of ``length`` if queries are of another kind.
 
-    left = packed(vectors, shards, "vectors", "s").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packed(queries, blocks, "queries", "b").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    Both sides have columns id (long or string) and vector; rows with a null in them must be gone already.
+    """
     kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
-    return left.join(right, ["s", "b"]).select("queries", "vectors").mapInArrow(_runner(pick), kinds)
+    return dealt(vectors, queries, SHARD, length).mapInArrow(_runner(pick), kinds)

@@ -1,4 +1,4 @@
-"""Indexes as frames: inverted files, product quantisation, both, and neighbour graphs.
+"""Indexes as frames: inverted files, product quantisation, both, and navigable graphs.
 
 An index is a trained model of bounded size on the driver (centroids, codebooks) and a frame of assigned or encoded rows.
 Models are fitted by Spark's k-means, on a sample whose size is a parameter; every row is indexed. Each search returns
@@ -19,12 +19,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.errors import NotFoundError, ValidationError
+from lodestar.errors import DuplicateIdError, NotFoundError, ValidationError
 from lodestar.functions.metrics import get_metric
 from lodestar.functions.vectors import doubles, subtract
 from lodestar.operators.blocks import pairs
 from lodestar.operators.filters import where
-from lodestar.operators.search import knn_batch
+from lodestar.operators.graph import built, walked
+from lodestar.operators.search import _sides, knn_batch
 
 #: Rows that a model is fitted on at most.
 SAMPLE = 100_000
@@ -63,8 +64,45 @@ def centroid_of(cluster: Column, centroids: np.ndarray) -> Column:
     return F.get(F.lit([[float(x) for x in c] for c in centroids]), cluster)
 
 
+class _Rows:
+    """What all indexes do by id. ``rows`` holds what is indexed; ids are unique."""
+
+    id: str
+    rows: DataFrame | None
+
+    def _take(self, df: DataFrame) -> DataFrame:
+        """df added to ``rows``; raises DuplicateIdError if an id is there already or twice in df."""
+        ids = df.select(self.id)
+        twice = ids.groupBy(self.id).count().filter("count > 1").select(self.id)
+        if self.rows is not None:
+            twice = twice.unionByName(ids.join(self.rows.select(self.id), self.id, "left_semi"))
+        if (found := twice.first()) is not None:
+            raise DuplicateIdError(found[0])
+        self.rows = df if self.rows is None else self.rows.unionByName(df)
+        return df
+
+    def get(self, ids: Sequence[Any]) -> DataFrame:
+        """The rows of the ids, in the order of ``rows``; unknown ids are left out."""
+        return self.rows.filter(F.col(self.id).isin(list(ids)))
+
+    def remove(self, ids: Sequence[Any]) -> Any:
+        self.rows = self.rows.filter(~F.col(self.id).isin(list(ids)))
+        return self
+
+    def update(self, df: DataFrame) -> Any:
+        """Rows in place of those of the same ids; an unknown id raises NotFoundError."""
+        missing = df.select(self.id).join(self.rows.select(self.id), self.id, "left_anti").first()
+        if missing is not None:
+            raise NotFoundError(missing[0])
+        self.rows = self.rows.join(df.select(self.id), self.id, "left_anti")
+        return self.add(df)
+
+    def count(self) -> int:
+        return 0 if self.rows is None else self.rows.count()
+
+
 @dataclass
-class IVFIndex:
+class IVFIndex(_Rows):
     """An inverted file: rows with the cluster of their nearest centroid; a query looks into its n_probe nearest clusters."""
 
     n_clusters: int = 100
@@ -88,12 +126,7 @@ class IVFIndex:
         return df.filter(F.col(self.vector).isNotNull()).withColumn("cluster_id", F.get(nearest(F.col(self.vector), self.centroids, self.metric), F.lit(0)))
 
     def add(self, df: DataFrame) -> IVFIndex:
-        new = self.assign(df)
-        self.rows = new if self.rows is None else self.rows.unionByName(new)
-        return self
-
-    def remove(self, ids: Sequence[Any]) -> IVFIndex:
-        self.rows = self.rows.filter(~F.col(self.id).isin(list(ids)))
+        self._take(self.assign(df))
         return self
 
     def set_n_probe(self, n: int) -> None:
@@ -140,8 +173,17 @@ class IVFIndex:
         return self
 
 
+def _reranked(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, id: str, vector: str) -> DataFrame:
+    """The k nearest of each query's candidates by exact euclidean distance: two equi-joins by id."""
+    asked = queries.select(F.col(id).alias("query_id"), F.col(vector).alias("__q"))
+    stored = vectors.select(F.col(id).alias("id"), F.col(vector).alias("__v"))
+    exact = found.select("query_id", "id").join(stored, "id").join(asked, "query_id").withColumn("distance", get_metric("euclidean").column(F.col("__q"), F.col("__v")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
 @dataclass
-class PQIndex:
+class PQIndex(_Rows):
     """Product quantisation: each of n_subvectors slices is a code of its codebook; distances are squared-L2 sums from tables."""
 
     n_subvectors: int = 8
@@ -188,16 +230,16 @@ class PQIndex:
     def add(self, df: DataFrame) -> PQIndex:
         if self.books is None:
             raise ValidationError("train the index first")
-        new = df.filter(F.col(self.vector).isNotNull()).withColumn("codes", self.encode(F.col(self.vector))).drop(self.vector)
-        self.rows = new if self.rows is None else self.rows.unionByName(new)
+        self._take(df.filter(F.col(self.vector).isNotNull()).withColumn("codes", self.encode(F.col(self.vector))).drop(self.vector))
         return self
 
-    def remove(self, ids: Sequence[Any]) -> PQIndex:
-        self.rows = self.rows.filter(~F.col(self.id).isin(list(ids)))
-        return self
+    def search(self, queries: DataFrame, k: int = 10, filter: Any = None, vectors: DataFrame | None = None, rerank: int = 20) -> DataFrame:
+        """Asymmetric distances: a table of slice distances for each query, summed by the codes of each row.
 
-    def search(self, queries: DataFrame, k: int = 10, filter: Any = None) -> DataFrame:
-        """Asymmetric distances: a table of slice distances for each query, summed by the codes of each row."""
+        With ``vectors``, a frame of the same ids, the rerank * k nearest by codes are ranked by their exact distances.
+        """
+        if vectors is not None:
+            return _reranked(self.search(queries, k * rerank, filter), queries, vectors, k, self.id, self.vector)
         books, m = self.books, self.n_subvectors
         kernel = get_metric("euclidean_squared").kernel
 
@@ -211,9 +253,9 @@ class PQIndex:
             return a, b, np.sqrt(d[a, b])
 
         rows = where(self.rows, filter).select(F.col(self.id).alias("id"), F.col("codes").alias("vector"))
-        asked = queries.select(F.col(self.id).alias("id"), F.col(self.vector).alias("vector")).filter("vector is not null")
+        asked = _sides(queries, self.id, self.vector).filter(F.size("vector") == books.shape[0] * books.shape[2])
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        return pairs(rows, asked, pick).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+        return pairs(rows, asked, pick, m).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
     def compression(self) -> float:
         """Bytes of the float vectors over bytes of the codes."""
@@ -222,7 +264,7 @@ class PQIndex:
 
 
 @dataclass
-class IVFPQIndex:
+class IVFPQIndex(_Rows):
     """An inverted file whose rows are codes of what their centroid leaves over."""
 
     n_clusters: int = 100
@@ -249,12 +291,7 @@ class IVFPQIndex:
         return self
 
     def add(self, df: DataFrame) -> IVFPQIndex:
-        new = self._residuals(df).withColumn("codes", self.fine.encode(F.col("residual"))).drop("residual", self.vector)
-        self.rows = new if self.rows is None else self.rows.unionByName(new)
-        return self
-
-    def remove(self, ids: Sequence[Any]) -> IVFPQIndex:
-        self.rows = self.rows.filter(~F.col(self.id).isin(list(ids)))
+        self._take(self._residuals(df).withColumn("codes", self.fine.encode(F.col("residual"))).drop("residual", self.vector))
         return self
 
     def reconstruct(self) -> DataFrame:
@@ -262,8 +299,10 @@ class IVFPQIndex:
         back = F.zip_with(centroid_of(F.col("cluster_id"), self.coarse.centroids), self.fine.decode(F.col("codes")), lambda a, b: a + b)
         return self.rows.select(F.col(self.id).alias("id"), back.alias("vector"), "cluster_id")
 
-    def search(self, queries: DataFrame, k: int = 10, n_probe: int | None = None, filter: Any = None) -> DataFrame:
-        """Probed clusters joined by cluster; distances to the rows as their codes stand for them."""
+    def search(self, queries: DataFrame, k: int = 10, n_probe: int | None = None, filter: Any = None, vectors: DataFrame | None = None, rerank: int = 20) -> DataFrame:
+        """Probed clusters joined by cluster; distances to the rows as their codes stand for them, reranked as in PQIndex."""
+        if vectors is not None:
+            return _reranked(self.search(queries, k * rerank, n_probe, filter), queries, vectors, k, self.id, self.vector)
         n = max(1, min(n_probe or self.n_probe, len(self.coarse.centroids)))
         asked = queries.select(F.col(self.id).alias("query_id"), F.col(self.vector).alias("__q")).filter("__q is not null")
         probes = asked.withColumn("cluster_id", F.explode(nearest(F.col("__q"), self.coarse.centroids, n=n)))
@@ -275,7 +314,7 @@ class IVFPQIndex:
 
 
 @dataclass
-class FlatIndex:
+class FlatIndex(_Rows):
     """No index: exact search."""
 
     metric: str = "euclidean"
@@ -287,11 +326,7 @@ class FlatIndex:
         return self
 
     def add(self, df: DataFrame) -> FlatIndex:
-        self.rows = df if self.rows is None else self.rows.unionByName(df)
-        return self
-
-    def remove(self, ids: Sequence[Any]) -> FlatIndex:
-        self.rows = self.rows.filter(~F.col(self.id).isin(list(ids)))
+        self._take(df)
         return self
 
     def search(self, queries: DataFrame, k: int = 10, filter: Any = None) -> DataFrame:
@@ -299,27 +334,104 @@ class FlatIndex:
 
 
 @dataclass
-class GraphIndex(FlatIndex):
-    """The contract of a navigable graph: neighbours, degrees and search.
+class GraphIndex(_Rows):
+    """A navigable small world: a layered graph for each shard of vectors, built once and walked from the top.
 
-    Walking a graph node by node isn't a relational operation, so searches are exact (recall 1, filters before the
-    k nearest); ``ef_search`` is kept as a hint. edges() is the neighbour graph, made by probing an inverted file.
+    add() builds the graphs of the new rows, as shards of their own; rebuild() makes one set of shards of all.
+    ``graph`` has a row for each node: ``d, s, place, entry, live, id, vector, links``, links being places by level; it is
+    persisted, as building it is the costly part. Removed rows stay as waypoints that no search returns, until rebuild().
+    With a filter a search is exact over the rows it lets through, since a walk could end among others.
     """
 
     m: int = 16
+    ef_construction: int = 100
     ef_search: int = 50
-    n_clusters: int = 16
-    n_probe: int = 4
+    metric: str = "euclidean"
+    seed: int = 42
+    id: str = "id"
+    vector: str = "vector"
+    #: Components of a shard's vectors.
+    shard: int = 1 << 20
+    rows: DataFrame | None = None
+    graph: DataFrame | None = None
+
+    def train(self, df: DataFrame) -> GraphIndex:
+        return self
+
+    def _built(self, df: DataFrame) -> DataFrame:
+        rows = _sides(df, self.id, self.vector).withColumn("d", F.size("vector"))
+        sizes = rows.groupBy("d").agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.first("d"), F.lit(1)) / self.shard).alias("shards"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.join(sizes, "d").select("d", F.pmod(F.xxhash64("id", "vector"), F.col("shards")).alias("s"), "id", "vector")
+        m = get_metric(self.metric)
+        kind = df.schema[self.id].dataType.simpleString()
+        schema = f"d int, s long, place int, entry boolean, live boolean, id {kind}, vector array<double>, links array<array<int>>"
+        return rows.repartition(parts, "d", "s").sortWithinPartitions("d", "s", "id").mapInArrow(built(m.kernel, self.m, self.ef_construction, self.seed, -1.0 if m.is_similarity else 1.0), schema)
+
+    def add(self, df: DataFrame) -> GraphIndex:
+        self._take(df)
+        new = self._built(df)
+        if self.graph is not None:
+            new = self.graph.unionByName(new.withColumn("s", F.col("s") + (self.graph.agg(F.max("s")).first()[0] or 0) + 1))
+        self.graph = new.persist()
+        return self
+
+    def remove(self, ids: Sequence[Any]) -> GraphIndex:
+        self.graph = self.graph.withColumn("live", F.col("live") & ~F.col("id").isin(list(ids)))
+        return super().remove(ids)
+
+    def update(self, df: DataFrame) -> GraphIndex:
+        old = df.select(F.col(self.id).alias("id"), F.lit(False).alias("__stays")).distinct()
+        graph = self.graph
+        self.graph = graph.join(old, "id", "left").withColumn("live", F.col("live") & F.coalesce("__stays", F.lit(True))).select(*graph.columns)
+        return super().update(df)
+
+    def rebuild(self) -> GraphIndex:
+        self.graph.unpersist()
+        self.graph = self._built(self.rows).persist()
+        return self
+
+    def set_ef_search(self, ef: int) -> None:
+        self.ef_search = max(1, ef)
+
+    def search(self, queries: DataFrame, k: int = 10, filter: Any = None, ef: int | None = None) -> DataFrame:
+        """The k nearest found by walks that keep ``ef`` nodes; removed rows are left out, and ef makes up for them."""
+        if filter is not None:
+            return knn_batch(self.rows, queries, k, self.metric, filter, self.id, self.vector)
+        m = get_metric(self.metric)
+        kept = max(ef or self.ef_search, k)
+        asked = _sides(queries, self.id, self.vector).withColumn("d", F.size("vector"))
+        nodes = self.graph.select("d", "s", F.lit(0).alias("asks"), "place", "entry", "live", "id", F.lit(None).cast(asked.schema["id"].dataType).alias("query_id"), "vector", "links")
+        there = asked.withColumnRenamed("id", "query_id").join(self.graph.select("d", "s").distinct(), "d").withColumn("asks", F.lit(1))
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = nodes.unionByName(there, allowMissingColumns=True).repartition(parts, "d", "s").sortWithinPartitions("d", "s", "asks", "place")
+        kinds = f"query_id {asked.schema['id'].dataType.simpleString()}, id {self.graph.schema['id'].dataType.simpleString()}, distance double"
+        found = rows.mapInArrow(walked(m.kernel, self.m, kept, kept, -1.0 if m.is_similarity else 1.0), kinds)
+        order = F.col("distance").desc() if m.is_similarity else F.col("distance").asc()
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.col("id").asc()))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
     def edges(self) -> DataFrame:
-        """``level, src, dst, distance``: up to m neighbours of each row."""
-        ivf = IVFIndex(self.n_clusters, self.n_probe, self.metric, id=self.id, vector=self.vector).train(self.rows).add(self.rows)
-        found = ivf.search(self.rows, self.m + 1).filter("query_id <> id")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-        return found.withColumn("n", rank).filter(F.col("n") <= self.m).select(F.lit(0).alias("level"), F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
+        """``level, src, dst, distance``: the links of every node."""
+        links = self.graph.select("d", "s", F.col("id").alias("src"), F.col("vector").alias("__a"), F.posexplode("links").alias("level", "to")).withColumn("place", F.explode("to"))
+        ends = self.graph.select("d", "s", "place", F.col("id").alias("dst"), F.col("vector").alias("__b"))
+        distance = get_metric(self.metric).column(F.col("__a"), F.col("__b"))
+        return links.join(ends, ["d", "s", "place"]).select("level", "src", "dst", distance.alias("distance"))
 
-    def neighbors(self, value: Any) -> DataFrame:
-        return self.edges().filter(F.col("src") == F.lit(value))
+    def neighbors(self, value: Any, level: int = 0) -> DataFrame:
+        return self.edges().filter((F.col("src") == F.lit(value)) & (F.col("level") == level))
+
+    def levels(self) -> DataFrame:
+        """``id, level``: the highest level of each node."""
+        return self.graph.filter("live").select("id", (F.size("links") - 1).alias("level"))
+
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        self.graph.write.mode("overwrite").parquet(f"{path}/graph")
+
+    def load(self, spark: Any, path: str) -> GraphIndex:
+        self.rows, self.graph = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/graph")
+        return self
 
 
 INDEXES = {"flat": FlatIndex, "ivf": IVFIndex, "hnsw": GraphIndex, "pq": PQIndex, "ivf_pq": IVFPQIndex, "hybrid": IVFPQIndex}
@@ -332,16 +444,15 @@ def create_index(kind: str, **options: Any) -> Any:
 
 
 def recommend_index(n_vectors: int, dimension: int, priority: str = "balanced") -> tuple[str, dict]:
-    """A kind and its options for a size and a priority: speed, accuracy, memory or balanced."""
-    if priority not in ("speed", "accuracy", "memory", "balanced"):
+    """A kind and its options for a size and a priority: speed, recall (or accuracy), memory or balanced."""
+    if priority not in ("speed", "recall", "accuracy", "memory", "balanced"):
         raise ValidationError(f"no priority {priority!r}")
     if n_vectors < 10_000:
         return "flat", {}
-    if n_vectors < 100_000 and priority != "memory":
-        return "hnsw", {"m": 16}
     clusters = max(1, int(4 * math.sqrt(n_vectors)))
     if priority == "memory":
         return "ivf_pq", {"n_clusters": clusters, "n_subvectors": next(m for m in (16, 8, 4, 2, 1) if dimension % m == 0)}
-    if priority == "speed":
-        return "hnsw", {"m": 32}
-    return "ivf", {"n_clusters": clusters, "n_probe": max(1, clusters // (5 if priority == "accuracy" else 20))}
+    if n_vectors < 100_000:
+        return "hnsw", {"m": 16}
+    share = {"speed": 100, "balanced": 20}.get(priority, 5)
+    return "ivf", {"n_clusters": clusters, "n_probe": max(1, clusters // share)}

@@ -52,7 +52,8 @@ def knn(df: DataFrame, query: Sequence[float], k: int = 10, metric: str | Metric
 
 
 def _sides(df: DataFrame, id: str, vector: str) -> DataFrame:
-    return df.select(F.col(id).alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
+    rows = df.select(F.col(id).alias("id"), doubles(F.col(vector)).alias("vector"))
+    return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
 
 
 def _order(w: Any, m: Metric) -> Any:

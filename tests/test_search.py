@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.errors import NotFoundError, ValidationError
+from lodestar.errors import DuplicateIdError, NotFoundError, ValidationError
 from lodestar.operators import search
 from lodestar.operators.index import FlatIndex, GraphIndex, IVFIndex, IVFPQIndex, PQIndex, create_index, recommend_index
 from lodestar.plans.query import Executor
@@ -124,15 +124,67 @@ def test_quantisation(df, data):
     assert both.reconstruct().count() == N
 
 
-def test_graph_flat_and_factory(df):
+def test_graph(df, data, tmp_path):
+    queries = df.filter("id % 20 = 0")
+    exact = search.knn_batch(df, queries, 10)
+    graph = GraphIndex(m=8).add(df)
+    assert recall(graph.search(queries, 10), exact) >= 0.95
+    assert recall(graph.search(queries, 10, ef=10), exact) <= recall(graph.search(queries, 10, ef=200), exact)
+    some = GraphIndex(m=8, shard=100 * data.shape[1]).add(df)
+    assert some.graph.select("s").distinct().count() > 1 and recall(some.search(queries, 10), exact) >= 0.95
+    degrees = graph.edges().groupBy("src", "level").count().groupBy("level").agg(F.max("count").alias("n"), F.count(F.lit(1)).alias("nodes")).orderBy("level").collect()
+    assert degrees[0].n <= 16 and degrees[0].nodes == N and len(degrees) > 1 and all(r.n <= 8 for r in degrees[1:])
+    assert graph.levels().filter("level > 0").count() < N / 4
+    near = graph.neighbors(0).collect()
+    assert near and all(abs(r.distance - np.linalg.norm(data[0] - data[r.dst])) < 1e-9 for r in near)
+    assert recall(graph.search(queries, 5, filter={"label": 1}), search.knn_batch(df, queries, 5, filter={"label": 1})) == 1
+    graph.save(str(tmp_path / "g"))
+    assert recall(GraphIndex(m=8).load(df.sparkSession, str(tmp_path / "g")).search(queries, 10), exact) >= 0.95
+    graph.remove([0, 20])
+    left = df.filter("id not in (0, 20)")
+    assert recall(graph.search(queries, 10), search.knn_batch(left, queries, 10)) >= 0.95 and not graph.search(queries, 10).filter("id in (0, 20)").count()
+    moved = df.filter("id in (40, 41)").withColumn("vector", F.transform("vector", lambda x: x + 100.0))
+    graph.update(moved)
+    first = graph.search(moved, 2).filter("rank = 1").collect()
+    assert {r.query_id for r in first} == {40, 41} and all(r.distance < 1e-9 for r in first) and graph.count() == N - 2
+    assert graph.rebuild().graph.count() == N - 2
+    assert GraphIndex(metric="cosine").add(df).search(queries, 1).filter("query_id <> id").count() == 0
+
+
+@pytest.mark.parametrize("make", [FlatIndex, GraphIndex, lambda: IVFIndex(n_clusters=4), lambda: PQIndex(n_subvectors=4, n_bits=3), lambda: IVFPQIndex(n_clusters=2, n_subvectors=4, n_bits=3)])
+def test_rows_of_indexes(df, make):
+    some = df.filter("id < 60").select("id", "vector")
+    index = make().train(some).add(some)
+    assert index.count() == 60 and sorted(r.id for r in index.get([3, 5, 999]).collect()) == [3, 5]
+    for again in (some.limit(1), df.filter("id = 70").select("id", "vector").unionByName(df.filter("id = 70").select("id", "vector"))):
+        with pytest.raises(DuplicateIdError):
+            index.add(again)
+    with pytest.raises(NotFoundError):
+        index.update(df.filter("id = 70").select("id", "vector"))
+    index.update(some.filter("id = 7"))
+    assert index.count() == 60 and index.remove([7]).count() == 59
+
+
+def test_flat_and_factory(df):
     queries = df.filter("id % 40 = 0")
-    graph = GraphIndex(m=4, n_clusters=4, n_probe=2).add(df)
-    assert graph.edges().groupBy("src").count().agg(F.max("count")).first()[0] == 4
     assert recall(FlatIndex().add(df).search(queries, 5), search.knn_batch(df, queries, 5)) == 1
     assert isinstance(create_index("hnsw"), GraphIndex)
     with pytest.raises(ValidationError):
         create_index("tree")
     assert recommend_index(100, 8)[0] == "flat" and recommend_index(50_000, 8)[0] == "hnsw" and recommend_index(10**6, 8)[0] == "ivf" and recommend_index(10**6, 8, "memory")[0] == "ivf_pq"
+    assert recommend_index(10**6, 8, "speed") == ("ivf", {"n_clusters": 4000, "n_probe": 40}) and recommend_index(10**6, 8, "recall")[1]["n_probe"] == 800
+
+
+def test_vectors_of_unlike_length(spark):
+    """Only vectors of a query's length meet it; repeated ids and wide vectors are no matter."""
+    rng = np.random.default_rng(2)
+    wide = [(i, rng.normal(size=65_536).tolist()) for i in range(12)]
+    rows = [(100, [0.0, 0.0, 0.0]), (101, [1.0]), (102, [1.0, 1.0, 1.0]), (103, [3.0]), (104, [0.0] * 5), (105, None), (106, [1.0, None, 2.0]), (102, [1.0, 1.0, 1.0]), *wide]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {(r.query_id, r.id): r.distance for r in search.knn_batch(df, df.filter("id in (0, 100, 101, 104)"), 3, exclude_self=True).collect()}
+    assert {k for k in got if k[0] >= 100} == {(100, 102), (101, 103)} and got[101, 103] == 2
+    x = np.array([v for _, v in wide])
+    assert {j for i, j in got if i == 0} == set((np.argsort(((x[1:] - x[0]) ** 2).sum(axis=1))[:3] + 1).tolist())
 
 
 def test_executor(df, data):
