@@ -12,7 +12,7 @@ from lodestar.functions.metrics import euclidean_normalized, get_metric, list_me
 from lodestar.functions.vectors import is_normalized, norm, normalize
 from lodestar.operators import chunking, dml, search, stats
 from lodestar.operators.filters import And, Field, Not, Or, where
-from lodestar.operators.index import IVFIndex, IVFPQIndex, PQIndex
+from lodestar.operators.index import GraphIndex, IVFIndex, IVFPQIndex, PQIndex
 from lodestar.plans.query import Executor, parse_string
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,12 +137,12 @@ _add("duplicates_threshold", lambda s, d: search.duplicates(_vectors(s, d), 0.95
 
 
 def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _vectors(spark, sf_dir).filter("id < 200")
+    df = _vectors(spark, sf_dir)
     m = search.distance_matrix(df, metric="manhattan")
     return m.join(df.select(F.col("id").alias("query_id"), "label"), "query_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.max("distance"), 6).alias("largest"))
 
 
-_add("distance_matrix", _pairwise, "WITH m AS (SELECT b.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 200 AND b.vec_id < 200) SELECT label, count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM m GROUP BY label")
+_add("distance_matrix", _pairwise, "WITH m AS (SELECT b.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings a, embeddings b) SELECT label, count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM m GROUP BY label")
 
 
 def _centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +172,11 @@ def _unit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # filters, on documents with their labels (missing for most), on parts, and on events with JSON
 
-_DOCS = "(SELECT d.doc_id, d.lang, d.source, d.text, d.n_chars, l.quality, l.toxic, [d.lang, d.source] AS tags FROM documents d LEFT JOIN labels l USING (doc_id))"
+_DOCS = "(SELECT d.doc_id, d.lang, d.source, d.text, d.n_chars, l.quality, l.toxic, [d.lang, d.source] AS tags FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     docs = _read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     return docs.withColumn("tags", F.array("lang", "source")).withColumn("nested", F.struct(F.struct(F.col("quality").alias("value"), F.col("lang").alias("name")).alias("level1")))
 
@@ -282,7 +282,19 @@ _add("collection_stats", lambda s, d: stats.collection_stats(_vectors(s, d)), "S
 _add("cluster_sizes", lambda s, d: stats.cluster_sizes(_vectors(s, d), 12, "label").select("label", "n"), "SELECT r.label::INT AS label, count(e.vec_id) AS n FROM (SELECT unnest(range(12)) AS label) r LEFT JOIN embeddings e ON e.label = r.label GROUP BY r.label")
 _add("cluster_stats", lambda s, d: stats.cluster_stats(_vectors(s, d), 12, "label").select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("min_size", "max_size", "mean_size", "median_size", "std_size", "empty", "imbalance")]), "WITH c AS (SELECT r.label, count(e.vec_id) AS n FROM (SELECT unnest(range(12)) AS label) r LEFT JOIN embeddings e ON e.label = r.label GROUP BY r.label) SELECT min(n)::DOUBLE AS min_size, max(n)::DOUBLE AS max_size, round(avg(n), 6) AS mean_size, median(n)::DOUBLE AS median_size, round(stddev_pop(n), 6) AS std_size, (count(*) FILTER (n = 0))::DOUBLE AS empty, round(max(n) / (avg(n) + 1e-8::DOUBLE), 6) AS imbalance FROM c")
 _add("chunk_fixed", lambda s, d: chunking.chunk_fixed(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "start", "end", "chunk"), "WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS start FROM documents) SELECT doc_id, (start // 450)::INT AS chunk_no, start::INT AS start, least(start + 500, length(text))::INT AS \"end\", trim(substr(text, start::INT + 1, 500)) AS chunk FROM c WHERE trim(substr(text, start::INT + 1, 500)) <> ''")
-_add("chunk_sentences", lambda s, d: chunking.chunk_sentences(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk"))
+_add("chunk_sentences", lambda s, d: chunking.chunk_sentences(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk"), """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS l FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\f\\r\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0),
+r AS (  -- before sentence i (from 0) the open chunk begins at a and has n characters; b is where the chunk that was closed there began
+  SELECT doc_id, 0 AS i, 0 AS a, 0::BIGINT AS n, NULL::INT AS b FROM d
+  UNION ALL
+  SELECT x.doc_id, x.i + 1, CASE WHEN x.full THEN x.i - x.c ELSE x.a END, CASE WHEN x.full THEN coalesce(list_sum(x.l[x.i - x.c + 1:x.i]), 0) ELSE x.n END + x.l[x.i + 1], CASE WHEN x.full THEN x.a END
+  FROM (SELECT r.doc_id, r.i, r.a, r.n, d.l, r.i > r.a AND r.n + d.l[r.i + 1] > 500 AS full,
+               len(list_filter(range(1, r.i - r.a + 1), lambda k: list_sum(d.l[r.i - k + 1:r.i]) <= 50)) AS c
+        FROM r JOIN d USING (doc_id) WHERE r.i < len(d.l)) x),
+k AS (SELECT doc_id, b AS f, i - 2 AS t FROM r WHERE b IS NOT NULL UNION ALL SELECT r.doc_id, a, i - 1 FROM r JOIN d USING (doc_id) WHERE i = len(d.l))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY t) - 1)::INT AS chunk_no, array_to_string(s[f + 1:t + 1], ' ') AS chunk FROM k JOIN d USING (doc_id)
+""")
 _add("chunk_recursive", lambda s, d: chunking.chunk_recursive(_read(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk"))
 _add("context_format", lambda s, d: chunking.context(_read(s, d, "conversations"), "conv_id", "turn", "text", 40), "SELECT conv_id, string_agg('[' || n || '] ' || t, chr(10) ORDER BY n) AS context FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) AS n, t FROM (SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS t FROM conversations)) GROUP BY conv_id")
 _add("feature_vectors", lambda s, d: _features(s, d), "WITH f AS (SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) + abs(l_discount - 0.05::DOUBLE) + abs(l_tax - 0.02::DOUBLE) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, round(d, 6) AS distance FROM f ORDER BY round(d, 9), l_orderkey, l_linenumber LIMIT 20")
@@ -304,17 +316,29 @@ def _ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("ivf_full_probe", _ivf, _ranked_sql("b.vec_id % 25 = 0", 10))
 
 
-def _index(make: Callable[[], Any]) -> Query:
+def _recall(make: Callable[[], Any], floor: float, **how: Any) -> Query:
+    """The share of the ten exact neighbours that an index finds, over every 25th vector, against all."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = _vectors(spark, sf_dir)
-        return make().train(df).add(df).search(df.filter("id % 25 = 0"), 10)
+        df = _vectors(spark, sf_dir).cache()
+        asked = df.filter("id % 25 = 0")
+        index = make().train(df).add(df)
+        options = {k: df if v is _ITSELF else v for k, v in how.items()}
+        found, exact = index.search(asked, 10, **options), search.knn_batch(df, asked, 10)
+        both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+        return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"), (F.sum(F.coalesce("hit", F.lit(0))) >= floor * F.count(F.lit(1))).alias("reached"))
 
     return run
 
 
-_add("ivf_probe", _index(lambda: IVFIndex(n_clusters=16, n_probe=6)))
-_add("pq_adc", _index(lambda: PQIndex(n_subvectors=8, n_bits=5)))
-_add("ivfpq_probe", _index(lambda: IVFPQIndex(n_clusters=8, n_probe=4, n_subvectors=8, n_bits=5)))
+_ITSELF = object()
+_RECALL_SQL = "WITH q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 25 = 0), e AS (SELECT count(*) AS n FROM embeddings) SELECT q.n AS n_queries, q.n * least(10, e.n) AS n_neighbours, true AS reached FROM q, e"
+_add("hnsw_recall", _recall(lambda: GraphIndex(m=16, ef_construction=100, ef_search=100), 0.95), _RECALL_SQL)
+_add("ivf_recall", _recall(lambda: IVFIndex(n_clusters=16, n_probe=12), 0.9), _RECALL_SQL)
+_add("pq_recall", _recall(lambda: PQIndex(n_subvectors=16, n_bits=6), 0.9, vectors=_ITSELF, rerank=20), _RECALL_SQL)
+_add("ivfpq_recall", _recall(lambda: IVFPQIndex(n_clusters=8, n_probe=7, n_subvectors=16, n_bits=6), 0.9, vectors=_ITSELF, rerank=20), _RECALL_SQL)
+_add("duplicate_groups", lambda s, d: search.duplicate_groups(_vectors(s, d), 1.05).select(F.col("id").alias("vec_id"), "group_id"), f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_L2} <= 1.05), r AS (SELECT a AS v, a AS w FROM p UNION SELECT r.v, p.b FROM r JOIN p ON p.a = r.w) SELECT v AS vec_id, min(w) AS group_id FROM r GROUP BY v")
+_add("knn_min_score", lambda s, d: _named(search.knn(_vectors(s, d), _seed(_vectors(s, d)), 10, min_score=0.44)), f"SELECT vec_id, distance FROM (SELECT a.vec_id, round({_L2}, 6) AS distance, {_L2} AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) WHERE 1 / (1 + d) >= 0.44 ORDER BY d, vec_id LIMIT 10")
 
 
 def queries() -> dict[str, Query]:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.errors import CapacityError, CollectionExistsError, DuplicateIdError, NotFoundError, ValidationError
+from lodestar.errors import CapacityError, CollectionExistsError, DuplicateIdError, EngineError, NotFoundError, ValidationError
 from lodestar.functions.metrics import get_metric
 from lodestar.functions.validation import check_dimension, check_id, check_k, check_metadata, check_vector
 from lodestar.functions.vectors import normalize
@@ -56,13 +56,16 @@ class Collection:
 
     # changes
 
+    def _next(self) -> int:
+        return (self.frame.agg(F.max("seq")).first()[0] or 0) + 1
+
+    def _row(self, record: dict | tuple, seq: int) -> tuple:
+        i, v, m = (record.get("id"), record["vector"], record.get("metadata")) if isinstance(record, dict) else (*record, None)[:3]
+        return check_id(i or str(uuid.uuid4())), check_vector(v, self.config.dimension), json.dumps(check_metadata(m)), time.time(), seq
+
     def _rows(self, records: Iterable[dict | tuple]) -> list[tuple]:
-        first = (self.frame.agg(F.max("seq")).first()[0] or 0) + 1
-        out = []
-        for n, r in enumerate(records):
-            i, v, m = (r["id"], r["vector"], r.get("metadata")) if isinstance(r, dict) else (*r, None)[:3]
-            out.append((check_id(i or str(uuid.uuid4())), check_vector(v, self.config.dimension), json.dumps(check_metadata(m)), time.time(), first + n))
-        return out
+        first = self._next()
+        return [self._row(r, first + n) for n, r in enumerate(records)]
 
     def _frame(self, rows: list[tuple]) -> DataFrame:
         df = self.spark.createDataFrame(rows, _ROW)
@@ -73,8 +76,40 @@ class Collection:
         """Adds one record; a taken id raises DuplicateIdError unless it may be overwritten. An empty id gets a new one."""
         return self.add_batch([(id, vector, metadata)], overwrite)[0]
 
-    def add_batch(self, records: Iterable[dict | tuple], overwrite: bool = False) -> list[str]:
-        """All or none of the records are added."""
+    def _add_some(self, records: Iterable[dict | tuple], overwrite: bool) -> dict[str, Any]:
+        """The records that can be added are; bad ones, and those beyond the collection's capacity, are reported."""
+        first, rows, errors, done = self._next(), [], [], 0
+        for n, r in enumerate(records):
+            try:
+                rows.append(self._row(r, first + n))
+            except (EngineError, KeyError, TypeError) as e:
+                errors.append({"id": r.get("id") if isinstance(r, dict) else r[0], "error": str(e)})
+        if rows:
+            wanted = self.spark.createDataFrame([(r[0],) for r in rows], "id string").distinct()
+            held = {r.id for r in self.frame.join(wanted, "id", "left_semi").select("id").collect()}
+            most = self.config.max_vectors
+            room = None if most is None else most - self.count()
+            new: dict[str, tuple] = {}
+            for r in rows:
+                known = r[0] in held or r[0] in new
+                if known and not overwrite:
+                    errors.append({"id": r[0], "error": f"{r[0]!r} exists already"})
+                elif not known and room == 0:
+                    errors.append({"id": r[0], "error": f"{self.config.name} holds at most {most} vectors"})
+                else:
+                    room = room if known or room is None else room - 1
+                    new[r[0]], done = r, done + 1
+            if new:
+                self.frame = dml.upsert(self.frame, self._frame(list(new.values())))
+        return {"success_count": done, "error_count": len(errors), "errors": errors}
+
+    def add_batch(self, records: Iterable[dict | tuple], overwrite: bool = False, on_error: str = "raise") -> Any:
+        """All or none of the records are added, and their ids returned; or, if ``on_error`` is "skip" or "continue", all that
+        can be, and ``success_count``, ``error_count`` and ``errors`` (id and error of each) returned."""
+        if on_error not in ("raise", "skip", "continue"):
+            raise ValidationError(f"no way {on_error!r} to treat errors")
+        if on_error != "raise":
+            return self._add_some(records, overwrite)
         rows = self._rows(records)
         ids = [r[0] for r in rows]
         if len(set(ids)) < len(ids) and not overwrite:

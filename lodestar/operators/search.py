@@ -17,6 +17,7 @@ from lodestar.functions.metrics import Metric, get_metric
 from lodestar.functions.validation import check_k
 from lodestar.functions.vectors import doubles
 from lodestar.operators.blocks import pairs
+from lodestar.operators.components import components
 from lodestar.operators.filters import where
 
 
@@ -40,14 +41,17 @@ def inverse_score(distance: str = "distance") -> Column:
     return F.try_divide(F.lit(1.0), 1 + F.col(distance))
 
 
-def knn(df: DataFrame, query: Sequence[float], k: int = 10, metric: str | Metric = "euclidean", filter: Any = None, id: str = "id", vector: str = "vector") -> DataFrame:
+def knn(df: DataFrame, query: Sequence[float], k: int = 10, metric: str | Metric = "euclidean", filter: Any = None, id: str = "id", vector: str = "vector", min_score: float | None = None) -> DataFrame:
     """The k nearest rows, nearest first, with ``distance``. The filter comes before the distances.
 
-    One scan; each partition keeps k rows, and only these meet on the driver's side of the plan.
+    One scan; each partition keeps k rows, and only these meet on the driver's side of the plan. With ``min_score`` only
+    rows stay whose inverse_score is that high, or whose similarity, where the metric is one.
     """
     m = get_metric(metric)
     found = with_distance(where(df, filter), query, m, vector).filter(F.col("distance").isNotNull())
     order = F.col("distance").desc() if m.is_similarity else F.col("distance").asc()
+    if min_score is not None:
+        found = found.filter((F.col("distance") if m.is_similarity else inverse_score()) >= float(min_score))
     return found.orderBy(order, F.col(id).asc()).limit(check_k(k))
 
 
@@ -130,6 +134,20 @@ def duplicates(df: DataFrame, threshold: float = 1e-6, id: str = "id", vector: s
     return near.withColumn("distance", euclid(F.col("__a"), F.col("__b"))).filter(F.col("distance") <= float(threshold)).select("id1", "id2", "distance")
 
 
+def duplicate_groups(df: DataFrame, threshold: float = 1e-6, id: str = "id", vector: str = "vector") -> DataFrame:
+    """``id, group_id`` of rows that links within the threshold bring together; group_id is the least id of the group.
+
+    Equal vectors are one vertex, so many copies of a vector make no pairs. Ids must be whole numbers.
+    """
+    rows = _sides(df, id, vector)
+    reps = rows.groupBy("vector").agg(F.min("id").alias("rep"))
+    linked = components(duplicates(reps.withColumnRenamed("rep", "id"), threshold).select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    of = rows.join(reps, "vector").select("id", "rep")
+    of = of.join(linked.select(F.col("v").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    several = of.groupBy("group_id").count().filter("count > 1").select("group_id")
+    return of.join(several, "group_id", "left_semi").select("id", "group_id")
+
+
 def _close(rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs within the threshold, by blocks; inner products leave few pairs to be measured exactly."""
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.collection import Collection, Database, records_from_numpy
+from lodestar.collection import Collection, Config, Database, records_from_numpy
 from lodestar.errors import CapacityError, CollectionExistsError, DimensionMismatchError, DuplicateIdError, NotFoundError, StorageError, ValidationError
 from lodestar.functions.batching import batch_process
 from lodestar.operators import chunking, dml, stats
@@ -138,6 +138,25 @@ def test_batches(spark):
     assert sum(r.s for r in rows) == 300 and max(r.n for r in rows) <= 10
 
 
+def test_batches_with_errors(spark):
+    c = Collection(spark, Config("c", 2, max_vectors=4))
+    c.add("a", [1, 2])
+    got = c.add_batch([{"id": "b", "vector": [1, 1]}, {"id": "a", "vector": [0, 0]}, {"id": "x", "vector": [1]}, {"id": "b", "vector": [2, 2]}, ("d", [3, 3]), ("e", [4, 4]), ("f", [5, 5])], on_error="skip")
+    assert (got["success_count"], got["error_count"]) == (3, 4) and sorted(e["id"] for e in got["errors"]) == ["a", "b", "f", "x"]
+    assert c.count() == 4 and list(c.get("b")["vector"]) == [1, 1]
+    assert c.add_batch([("a", [7, 7]), ("g", [0, 0])], overwrite=True, on_error="continue")["success_count"] == 1 and list(c.get("a")["vector"]) == [7, 7]
+    with pytest.raises(ValidationError):
+        c.add_batch([], on_error="stop")
+
+
+def test_long_texts_in_chunks(spark):
+    text = "One more sentence of a text. " * 30_000
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    rows = chunking.chunk_sentences(df, size=100, overlap=30).select("chunk_no", "chunk").collect()
+    assert len(rows) == 14_999 + 1 and all(len(r.chunk) <= 102 for r in rows)
+    assert chunking.chunk_recursive(df, size=100).filter("length(chunk) > 100").count() == 0 and chunking.chunk_fixed(df).select("chunk").count() == 1934
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "One two. Three four! Five?\n\nSix seven eight nine ten")], "id long, text string")
     fixed = chunking.chunk_fixed(df, size=4, overlap=1).filter("id = 1").orderBy("chunk_no").collect()
@@ -145,7 +164,7 @@ def test_chunks(spark):
     assert chunking.chunk_fixed(df).filter("id in (2, 3)").count() == 0
     with pytest.raises(ValidationError):
         chunking.chunk_fixed(df, size=5, overlap=5)
-    s = chunking.chunk_sentences(df, size=22, overlap=1).filter("id = 4").orderBy("chunk_no").collect()
+    s = chunking.chunk_sentences(df, size=22, overlap=11).filter("id = 4").orderBy("chunk_no").collect()
     assert [r.chunk for r in s] == ["One two. Three four!", "Three four! Five?", "Five? Six seven eight nine ten"]
     r = chunking.chunk_recursive(df, size=12).filter("id = 4").collect()
     assert all(len(x.chunk) <= 12 for x in r) and len(r) > 3
