@@ -24,6 +24,10 @@ SCHEMA = "id string, vector array<float>, metadata variant, ts double, seq bigin
 _ROW = "id string, vector array<float>, json string, ts double, seq bigint"
 
 
+#: Changes after which a collection's plan is cut.
+CHANGES = 24
+
+
 @dataclass(frozen=True)
 class Config:
     """What a collection is made of."""
@@ -47,13 +51,35 @@ def in_metadata(f: Filter | None) -> Filter | None:
 
 
 class Collection:
-    """Rows in order of insertion (``seq``). Changes replace ``frame``, a lazy plan; save or checkpoint it now and then."""
+    """Rows in order of insertion (``seq``). Changes replace ``frame``, a lazy plan.
+
+    After CHANGES of them the plan is cut by a checkpoint where the session has a folder for these; else call
+    checkpoint() or save now and then.
+    """
 
     def __init__(self, spark: SparkSession, config: Config, frame: DataFrame | None = None):
         check_dimension(config.dimension)
         self.spark, self.config, self.metric = spark, config, get_metric(config.metric)
+        self._changes = 0
         self.frame = spark.createDataFrame([], SCHEMA) if frame is None else frame
 
+    @property
+    def frame(self) -> DataFrame:
+        return self._frame_now
+
+    @frame.setter
+    def frame(self, df: DataFrame) -> None:
+        self._changes += 1
+        if self._changes > CHANGES and (self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None)):
+            df, self._changes = self._cut(df), 0
+        self._frame_now = df
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        sc = self.spark.sparkContext
+        if not sc.getCheckpointDir() and (folder := self.spark.conf.get("spark.checkpoint.dir", None)):
+            sc.setCheckpointDir(folder)
+        return df.checkpoint()
+
     # changes
 
     def _next(self) -> int:
@@ -168,7 +194,7 @@ class Collection:
 
     def checkpoint(self) -> None:
         """Cuts the plan that changes have built up, in spark.checkpoint.dir."""
-        self.frame = self.frame.checkpoint()
+        self.frame = self._cut(self.frame)
 
     # reads
 

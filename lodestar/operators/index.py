@@ -61,7 +61,13 @@ def nearest(v: Column, centroids: np.ndarray, metric: str = "euclidean", n: int
 
 
 def centroid_of(cluster: Column, centroids: np.ndarray) -> Column:
-    return F.get(F.lit([[float(x) for x in c] for c in centroids]), cluster)
+    """The centroid of a cluster; null for null. The model travels with the function, so plans stay small."""
+
+    @F.pandas_udf("array<double>")
+    def udf(s: pd.Series) -> pd.Series:
+        return s.map(lambda c: None if pd.isna(c) else centroids[int(c)])
+
+    return udf(cluster)
 
 
 class _Rows:
@@ -223,9 +229,14 @@ class PQIndex(_Rows):
         return udf(v)
 
     def decode(self, codes: Column) -> Column:
-        """The vector that codes stand for, by table lookups."""
-        table = F.lit(self.books.tolist())
-        return F.flatten(F.transform(codes, lambda c, i: F.get(F.get(table, i), c)))
+        """The vector that codes stand for, by table lookups; null for null."""
+        books, place = self.books, np.arange(self.n_subvectors)
+
+        @F.pandas_udf("array<double>")
+        def udf(s: pd.Series) -> pd.Series:
+            return s.map(lambda c: None if c is None else books[place, np.asarray(c, np.int64)].ravel())
+
+        return udf(codes)
 
     def add(self, df: DataFrame) -> PQIndex:
         if self.books is None:

@@ -17,6 +17,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qsl, urlsplit
 
+from pyspark.sql import functions as F
+
 from lodestar.collection import Collection, Database
 from lodestar.config import ServiceSettings
 from lodestar.errors import CollectionExistsError, DuplicateIdError, EngineError, NotFoundError, ValidationError
@@ -32,15 +34,17 @@ class RateLimiter:
     def __init__(self, limit: int, clock: Callable[[], float] = time.monotonic):
         self.limit, self.clock = limit, clock
         self._seen: dict[str, deque[float]] = defaultdict(deque)
+        self._lock = threading.Lock()
 
     def allowed(self, client: str) -> bool:
-        now, seen = self.clock(), self._seen[client]
-        while seen and seen[0] <= now - 60:
-            seen.popleft()
-        if self.limit and len(seen) >= self.limit:
-            return False
-        seen.append(now)
-        return True
+        with self._lock:
+            now, seen = self.clock(), self._seen[client]
+            while seen and seen[0] <= now - 60:
+                seen.popleft()
+            if self.limit and len(seen) >= self.limit:
+                return False
+            seen.append(now)
+            return True
 
 
 def filter_of(spec: Any) -> dict | None:
@@ -176,9 +180,9 @@ class Service:
     def _search(self, args: dict, name: str) -> tuple[int, dict]:
         c = self._collection(name)
         found = c.search(args["vector"], int(args.get("k", 10)), filter_of(args.get("filter")))
-        rows = found.select("id", "distance", "score").collect()
-        meta = {r["id"]: r for r in c.get_many([x.id for x in rows])} if args.get("include_metadata", True) else {}
-        return 200, {"results": [{"id": r.id, "distance": r.distance, "score": r.score, **({"metadata": meta[r.id]["metadata"]} if r.id in meta else {})} for r in rows]}
+        shown = args.get("include_metadata", True)
+        rows = found.select("id", "distance", "score", *[F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("json")] * shown).collect()
+        return 200, {"results": [{"id": r.id, "distance": r.distance, "score": r.score, **({"metadata": json.loads(r.json)} if shown else {})} for r in rows]}
 
     def _search_batch(self, args: dict, name: str) -> tuple[int, dict]:
         queries, k = args["queries"], int(args.get("k", 10))

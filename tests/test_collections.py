@@ -138,6 +138,14 @@ def test_batches(spark):
     assert sum(r.s for r in rows) == 300 and max(r.n for r in rows) <= 10
 
 
+def test_plans_are_cut(spark, monkeypatch):
+    monkeypatch.setattr("lodestar.collection.CHANGES", 3)
+    c = Collection(spark, Config("c", 2))
+    for i in range(7):
+        c.add(f"v{i}", [i, i])
+    assert c.count() == 7 and c.frame._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 3
+
+
 def test_batches_with_errors(spark):
     c = Collection(spark, Config("c", 2, max_vectors=4))
     c.add("a", [1, 2])
