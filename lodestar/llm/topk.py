@@ -4,6 +4,9 @@ A vector's components are its terms: a term is a dimension and a sign, and its p
 whose component has that sign. A query's bound for a term is its weight times the largest component of the list. Terms
 are split by their bounds: those of the least bounds, whose sum stays below the k-th score so far, are non-essential.
 Essential lists are traversed; the others are probed only for vectors that can still compete. Shards are merged.
+
+Vectors are dealt into shards of bounded size and shuffled once; only queries are copied, to every shard, which reads
+them in turn.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint
+from lodestar.llm.common import checkpoint, n_partitions, small_or_not
+from lodestar.llm.shingles import bounds
 
-#: Vectors of a shard and queries of a block: what one task holds at a time.
-SHARD, BLOCK = 8192, 256
+#: Components of a shard's vectors: what one task holds at a time.
+SHARD = 1 << 19
 SCALE = 1024
 #: Dimensions that are probed between two prunings.
 STRIDE = 8
@@ -82,28 +86,48 @@ class _Shard:
         return self.ids[at], score
 
 
+def _rows(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+
+
+def _exactly(ids: np.ndarray, m: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beyond exact doubles: whole numbers of any size."""
+    scores = np.array([sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in m], object)
+    best = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
+    return ids[best], scores[best]
+
+
 def _search(k: int):
+    """Sorted rows: of each shard first its vectors, then queries, which are answered one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        here, shard, ids, m, most = None, None, None, None, 0.0
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.array(row["ids"], np.int64), np.array(row["qids"], np.int64)
-                m = np.array(row["vs"], np.float64).reshape(len(ids), -1)
-                qs = np.array(row["qvs"], np.float64).reshape(len(qids), -1)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                exact = m.shape[1] * np.abs(m).max(initial=0) * np.abs(qs).max(initial=0) < 2**53
-                shard = _Shard(ids, m) if exact and m.shape[1] else None
-                for n, (own, q) in enumerate(zip(qids, qs, strict=True)):
-                    if shard:
-                        found, scores = shard.search(q, own, k)
-                    else:  # beyond exact doubles: whole numbers of any size
-                        scores = np.array([sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in m], object)
-                        best = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
-                        found, scores = ids[best], scores[best]
-                    out[0].extend([int(own)] * len(found))
-                    out[1].extend([int(row["qkeys"][n])] * len(found))
-                    out[2].extend(int(x) for x in found)
-                    out[3].extend(int(x) for x in scores)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "query_key", "vec_id", "score"])
+            if not batch.num_rows:
+                continue
+            d, s, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "s", "asks"))
+            at = bounds(np.stack((d, s, asks), axis=1).astype(np.int64).view("i8,i8,i8").ravel())
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                part = batch.slice(a, b - a)
+                own, vs = part.column("id").to_numpy(), _rows(part.column("v"), int(d[a]))
+                if here != (d[a], s[a]):
+                    here, held, shard = (d[a], s[a]), [], None
+                if not asks[a]:
+                    held.append((own, vs))
+                    continue
+                if not held:
+                    continue
+                if shard is None:
+                    ids, m = (np.concatenate(x) for x in zip(*held, strict=True))
+                    shard, most = _Shard(ids, m) if m.shape[1] else None, float(np.abs(m).max(initial=0))
+                for query, q, key in zip(own, vs, part.column("key").to_numpy(), strict=True):
+                    exact = shard and m.shape[1] * most * np.abs(q).max(initial=0) < 2**53
+                    found, scores = shard.search(q, query, k) if exact else _exactly(ids, m, query, q, k)
+                    for x, y in zip(out, ([query] * len(found), [key] * len(found), found, scores), strict=True):
+                        x.extend(map(int, y))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "query_key", "vec_id", "score"])
 
     return run
 
@@ -121,16 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
         rows = df.select(F.col(vec_id).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"))
         return rows.filter("id is not null and v is not null").withColumn("d", F.size("v"))
 
-    rows = checkpoint(valid(vectors))
+    # row numbers, fixed by the checkpoint, deal even equal rows evenly
+    rows = checkpoint(valid(vectors).withColumn("n", F.monotonically_increasing_id()))
     asked = valid(queries).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("id", "v"))
-    asked = checkpoint(asked)
-    shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
-    # each shard meets each block: both are dealt over a grid of (shard, block), whole blocks at a time
-    packed = rows.withColumn("s", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(shards))).groupBy("d", "s").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    packed = packed.select("d", "s", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("vs"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    sought = asked.withColumn("b", F.pmod(F.col("key"), F.lit(blocks)).cast("int")).groupBy("d", "b").agg(F.collect_list(F.struct("id", "v", "key")).alias("r"))
-    sought = sought.select("d", "b", F.transform("r", lambda x: x["id"]).alias("qids"), F.transform("r", lambda x: x["key"]).alias("qkeys"), F.flatten(F.transform("r", lambda x: x["v"])).alias("qvs"))
-    sought = sought.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = packed.join(sought, ["d", "s", "b"]).select("ids", "vs", "qids", "qkeys", "qvs").mapInArrow(_search(k), "query_id long, query_key long, vec_id long, score long")
+    sizes = checkpoint(rows.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).select("d", F.ceil(F.col("rows") * F.greatest("d", F.lit(1)) / SHARD).alias("shards")))
+    sizes = small_or_not(sizes, F.lit(16))
+    here = rows.join(sizes, "d").select("d", F.pmod(F.xxhash64("n"), F.col("shards")).alias("s"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("key"), "id", "v")
+    there = asked.join(sizes, "d").select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("s"), F.lit(True).alias("asks"), "key", "id", "v")
+    parts = n_partitions(vectors.sparkSession)
+    dealt = here.unionByName(there).repartition(parts, "d", "s").sortWithinPartitions("d", "s", "asks")
+    found = dealt.mapInArrow(_search(k), "query_id long, query_key long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
