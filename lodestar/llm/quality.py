@@ -1,8 +1,10 @@
 """Quality rules: word and line statistics of each text, and robust multivariate outliers per language and source.
 
-A minimum covariance determinant is fitted to each group by concentration steps: from medians and median deviations,
-the mean and covariance of the closest rows are taken again and again, and rows far from the last fit by Mahalanobis
-distance are rejected. Everything is sums, counts and histograms per group, so no task holds a group.
+A minimum covariance determinant is fitted to each group by concentration steps from two starts, medians with median
+deviations and the plain mean with the covariance: the mean and covariance of the closest rows are taken again and again
+until no determinant falls any more, the start of the least determinant is chosen, and rows far from its fit by
+Mahalanobis distance are rejected. Everything is sums, counts and histograms per group, so no task holds a group. Groups
+too small for an estimate are judged by the one of their language, or else of all rows.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import SPACE, checkpoint, let, null_safe, small_or_not, words
 
 WINDOW = 5
-#: Production parameters: share of a group the estimate rests on, concentration steps, and the squared distance from
-#: which a row is an outlier. Statistics of text have heavier tails than a normal distribution, hence the wide cut.
-SUPPORT, STEPS, CUT, MIN_GROUP = 0.75, 3, 60.0, 30
+#: Production parameters: share of a group the estimate rests on, the squared distance from which a row is an outlier,
+#: and the rows that a group needs for an estimate of its own. Statistics of text have heavier tails than a normal
+#: distribution, hence the wide cut.
+SUPPORT, CUT, MIN_GROUP = 0.75, 60.0, 30
+#: A determinant falls if its logarithm falls by this much.
+LESS = 1e-3
 #: Statistics are whole multiples of 1/SCALE, so that their sums are exact and don't depend on the order of rows.
 SCALE = 1024
 #: Least standard deviation of each statistic, in its own units: log words, letters a word, log symbols a word, share of
@@ -77,6 +82,10 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _key(by: list[str]) -> Column:
+    return F.concat_ws("\x01", F.lit(str(len(by))), *[null_safe(F.col(c)) for c in by])
+
+
 def _vectors(df: DataFrame, by: list[str]) -> DataFrame:
     """df with the group's key and the transformed statistics, in whole 1/SCALE."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -87,7 +96,7 @@ def _vectors(df: DataFrame, by: list[str]) -> DataFrame:
         F.col("n_dup_lines") / F.greatest(F.col("n_word_lines"), F.lit(1)).cast("double"),
         F.col("n_repeat_words") / n,
     ]
-    return df.select("*", F.concat_ws("\x01", *[null_safe(F.col(c)) for c in by]).alias("__g"), *[F.round(x * SCALE).cast("double").alias(c) for x, c in zip(raw, X, strict=True)])
+    return df.select("*", _key(by).alias("__g"), *[F.round(x * SCALE).cast("double").alias(c) for x, c in zip(raw, X, strict=True)])
 
 
 def _quantile(rows: DataFrame, bin_of: Column, share: float, name: str) -> DataFrame:
@@ -111,7 +120,8 @@ def _medians(rows: DataFrame, values: list[Column], names: list[str]) -> DataFra
 
 
 def _fit(rows: DataFrame) -> DataFrame:
-    """Per group the mean (__m*), and the inverse (__a*_*) of the Cholesky factor of the covariance plus the floors' squares."""
+    """Per group the mean (__m*), the inverse (__a*_*) of the Cholesky factor of the covariance plus the floors' squares, and
+    the logarithm of the factor's determinant (__det)."""
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
     sums = rows.groupBy("__g").agg(
         F.count(F.lit(1)).cast("double").alias("__n"),
@@ -129,7 +139,8 @@ def _fit(rows: DataFrame) -> DataFrame:
         for i in range(j, P):
             rest = F.lit(float(i == j)) - sum((F.col(f"__l{i}_{k}") * F.col(f"__a{k}_{j}") for k in range(j, i)), F.lit(0.0))
             out = out.withColumn(f"__a{i}_{j}", rest / F.col(f"__l{i}_{i}"))
-    return out.select("__g", *[f"__m{i}" for i in range(P)], *[f"__a{i}_{j}" for i, j in pairs])
+    det = functools.reduce(operator.add, [F.log(f"__l{i}_{i}") for i in range(P)])
+    return out.select("__g", *[f"__m{i}" for i in range(P)], *[f"__a{i}_{j}" for i, j in pairs], det.alias("__det"))
 
 
 def _first_fit(rows: DataFrame) -> DataFrame:
@@ -138,7 +149,8 @@ def _first_fit(rows: DataFrame) -> DataFrame:
     near = rows.join(med, "__g")
     mad = _medians(near, [F.abs(F.col(X[i]) - F.col(f"__m{i}")) for i in range(P)], [f"__d{i}" for i in range(P)])
     scale = [F.sqrt(F.pow(1.4826 * F.col(f"__d{i}"), 2) + (FLOORS[i] * SCALE) ** 2) for i in range(P)]
-    return med.join(mad, "__g").select("__g", *[f"__m{i}" for i in range(P)], *[(1.0 / scale[i] if i == j else F.lit(0.0)).alias(f"__a{i}_{j}") for i in range(P) for j in range(i + 1)])
+    det = functools.reduce(operator.add, [F.log(x) for x in scale])
+    return med.join(mad, "__g").select("__g", *[f"__m{i}" for i in range(P)], *[(1.0 / scale[i] if i == j else F.lit(0.0)).alias(f"__a{i}_{j}") for i in range(P) for j in range(i + 1)], det.alias("__det"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -148,24 +160,49 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__d2", functools.reduce(operator.add, [F.pow(x, 2) for x in y]))
 
 
+def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The model after concentration steps, until no group's determinant falls."""
+    before = None
+    while True:
+        # each fit becomes a small checkpoint, so plans stay short
+        near = _distance(rows.join(small_or_not(model, F.lit(400)), "__g")).select("__g", *X, F.floor(BINS * F.log2(F.col("__d2") + 1.0)).cast("long").alias("__b"))
+        cut = small_or_not(checkpoint(_quantile(near, F.col("__b"), SUPPORT, "__cut")), F.lit(100))
+        after = checkpoint(_fit(near.join(cut, "__g").filter(F.col("__b") <= F.col("__cut"))))
+        if before is not None:
+            old = before.select("__g", F.col("__det").alias("__old"))
+            fell = checkpoint(after.join(old, "__g").filter(F.col("__det") < F.col("__old") - LESS).drop("__old"))
+            if fell.isEmpty():
+                return before
+            after = checkpoint(fell.unionByName(before.join(fell.select("__g"), "__g", "left_anti")))
+        model = before = after
+
+
 def fit(stats: DataFrame, by: list[str]) -> DataFrame:
-    """The model: per group a mean and a factor of the covariance, for groups of at least MIN_GROUP rows.
+    """The model: per group of ``by`` a mean and a factor of the covariance, its own from MIN_GROUP rows on.
 
-    stats: with_statistics' rows that passed the base rules, read several times (a checkpoint).
+    Smaller groups have that of the rows alike in all columns but the last, and so on, in the end that of all rows.
+    stats: with_statistics' rows, of which those that passed the base rules count, read several times (a checkpoint).
     """
-    rows = _vectors(stats.filter(~F.col("base_failed")), by).select("__g", *X)
-    model = _first_fit(rows)
-    for _ in range(STEPS):
-        # each fit becomes a small checkpoint, so plans stay short
-        near = _distance(rows.join(small_or_not(checkpoint(model), F.lit(400)), "__g")).select("__g", *X, F.floor(BINS * F.log2(F.col("__d2") + 1.0)).cast("long").alias("__b"))
-        cut = small_or_not(checkpoint(_quantile(near, F.col("__b"), SUPPORT, "__cut")), F.lit(100))
-        model = _fit(near.join(cut, "__g").filter(F.col("__b") <= F.col("__cut")))
-    sizes = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") >= MIN_GROUP)
-    return checkpoint(model.join(sizes, "__g"))
+    fine = stats.filter(~F.col("base_failed"))
+    levels = [by[:n] for n in range(len(by), -1, -1)]
+    keyed = _vectors(fine, by).select(*[_key(x).alias(f"__k{i}") for i, x in enumerate(levels)], *X)
+    rows = keyed.select(F.explode(F.array(*[f"__k{i}" for i in range(len(levels))])).alias("__g"), *X)
+    models = [_concentrated(rows, checkpoint(start(rows))) for start in (_first_fit, _fit)]
+    columns = [c for c in models[0].columns if c != "__g"]
+    least = functools.reduce(DataFrame.unionByName, models).groupBy("__g").agg(F.min(F.struct("__det", *[c for c in columns if c != "__det"])).alias("__fit")).select("__g", "__fit.*")
+    # which model a group has: the first level at which it has rows enough
+    sizes = checkpoint(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__size")))
+    groups = stats.select(*[_key(x).alias(f"__k{i}") for i, x in enumerate(levels)]).distinct()
+    for i in range(len(levels)):
+        groups = groups.join(sizes.select(F.col("__g").alias(f"__k{i}"), F.col("__size").alias(f"__n{i}")), f"__k{i}", "left")
+    last = len(levels) - 1
+    chosen = F.coalesce(*[F.when(F.col(f"__n{i}") >= MIN_GROUP, F.col(f"__k{i}")) for i in range(last)], F.col(f"__k{last}"))
+    groups = groups.select(F.col("__k0").alias("__own"), chosen.alias("__g"))
+    return checkpoint(groups.join(least, "__g").drop("__g", "__det").withColumnRenamed("__own", "__g"))
 
 
 def judge(stats: DataFrame, model: DataFrame, by: list[str], cut: float = CUT) -> DataFrame:
-    """stats with ``distance2`` (null without a model for the row's group) and ``kept``."""
+    """stats with ``distance2`` (null if no row at all passed the base rules) and ``kept``."""
     names = [c for c in stats.columns if c not in ("distance2", "kept")]
     rows = _distance(_vectors(stats.select(*names), by).join(small_or_not(model, F.lit(400)), "__g", "left"))
     return rows.select(*names, F.col("__d2").alias("distance2"), (~F.col("base_failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= cut)).alias("kept"))
@@ -176,7 +213,8 @@ def assess(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "
 
     kept is false where base_failed is, and where the statistics lie further than CUT from the robust centre of the
     row's language and source. Null languages and sources form groups of their own; groups of fewer than MIN_GROUP
-    rows are not judged beyond the base rules. Repeated rows each count; empty tables stay empty.
+    rows that pass the base rules are judged by their language's centre, or else by that of all rows. Repeated rows each
+    count; empty tables stay empty.
     """
     stats = with_statistics(docs, text)
     narrow = checkpoint(stats.select(*by, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "base_failed"))
