@@ -55,13 +55,20 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(left[: n - w + 1], right[w - 1 : n])
 
 
-def owned(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, first window, last window) of each stretch of a text of at least ``length`` bytes."""
-    h = _hashes(_prefix(data), anchor)
-    v = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    at = (_sliding_min(v, length - anchor + 1) & _PLACE).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return h[at[first]].view(np.int64), first, np.concatenate((first[1:] - 1, [len(at) - 1]))
+def owned(data: np.ndarray, length: int, anchor: int, segment: int = 1 << 27) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, first window, last window) of each stretch of a text of at least ``length`` bytes.
+
+    Places fit in 28 bits: longer texts are looked at in segments that share all but one byte of a window.
+    """
+    out: tuple[list, list, list] = ([], [], [])
+    for begin in range(0, len(data) - length + 1, segment):
+        h = _hashes(_prefix(data[begin : begin + segment + length - 1]), anchor)
+        v = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        at = (_sliding_min(v, length - anchor + 1) & _PLACE).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        for x, y in zip(out, (h[at[first]].view(np.int64), begin + first, begin + np.concatenate((first[1:] - 1, [len(at) - 1]))), strict=True):
+            x.append(y)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _anchors(length: int, anchor: int):
@@ -198,7 +205,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     another; strings are judged on the input and don't cross texts. removed has the edges of the removed runs in bytes:
     from, to (exclusive), and so on. Texts are their UTF-8 bytes; null is empty; texts shorter than ``length`` stay.
     Rows of equal texts are copies of each other whatever their ids, null or repeated ids included. Empty tables give
-    no rows. Texts of 256 MB and more aren't supported.
+    no rows.
 
     Copies of a whole text are settled by its hash, and one of them stands for all in the index, so groups of copies
     are no burden. Anchors with more than ``most`` stretches, such as a passage in a third of all texts has, are settled
