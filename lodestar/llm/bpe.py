@@ -21,8 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Words encoded by one query; pieces that are kept in a generation; bytes of text that are worked on together.
-CHUNK, KEPT, GROUP = 8000, 200_000, 2 << 20
+#: Bytes of words encoded by one query, which bound its memory; pieces that are kept in a generation; bytes of text that
+#: are worked on together.
+CHUNK, KEPT, GROUP = 1 << 17, 200_000, 2 << 20
 #: A recursive query takes as many rounds over all tokens of a word as it has merges, so words of more bytes than this
 #: (unbroken runs of letters, digits or signs) are merged by a heap, in the same order, instead.
 LONG = 256
@@ -60,7 +61,8 @@ class Codec:
         self.bytes = {r: token for token, r in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        # queries are small enough for memory, so nothing is spilled to the worker's own disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows_ = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows_")
         rows_ = pa.table({"id": pa.array(list(self.bytes), pa.int32()), "b": [x.hex() for x in self.bytes.values()]})
@@ -69,9 +71,13 @@ class Codec:
         self.old: dict[str, Piece] = {}
 
     def _encode(self, words: list[str]) -> Iterator[tuple[str, Piece]]:
-        for i in range(0, len(words), CHUNK):
-            part = words[i : i + CHUNK]
-            raw = [w.encode() for w in part]
+        every = [w.encode() for w in words]
+        ends = np.cumsum([len(x) for x in every])
+        cuts = np.flatnonzero(np.diff(ends // CHUNK)) + 1 if len(ends) else ends
+        for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
+            part, raw = words[a:b], every[a:b]
+            if not raw:
+                continue
             n = np.array([len(x) for x in raw])
             w = np.repeat(np.arange(len(raw)), n)
             init = pa.table({"w": w, "pos": np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), "tok": self.byte[np.frombuffer(b"".join(raw), np.uint8)]})
