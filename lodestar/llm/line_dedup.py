@@ -1,4 +1,8 @@
-"""Line dedup by site-relative frequency: lines that stand on too large a share of a site's pages go."""
+"""Line dedup by site-relative frequency: lines that stand on too large a share of a site's pages go.
+
+A page is set beside the other pages of its site: a line is boilerplate if more than RATIO of these have it too. So a
+line that stands on one page alone is never boilerplate, in however small a site, and large sites see no difference.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,18 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import SPACE, checkpoint, null_safe, small_or_not
 
-#: Production parameters: a line goes if more than this share of its site's pages has it, and at least so many pages.
+#: Production parameter: a line goes if more than this share of its site's other pages has it.
 RATIO = 0.1
-MIN_PAGES = 3
+#: What stands in HTML and is no text, and the tags at which a line ends.
+HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+BLOCKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+TAG = r"<[!/?A-Za-z][^>]*>"
+
+
+def html_lines(html: Column) -> Column:
+    """The text of a page with a line for each block of it; null for null."""
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCKS, "\n"), TAG, "")
+    return F.regexp_replace(F.regexp_replace(shown, r"[\x20\t\r\f\x0B]*\n[\x20\t\r\n\f\x0B]*", "\n"), r"^\n|\n$", "")
 
 
 def _lines(text: Column) -> Column:
@@ -21,7 +34,7 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RATIO) -> DataFrame:
     """Per site the marks of its boilerplate lines: ``__site, __marks, n_pages``.
 
     A site has at most (mean distinct lines of a page) / ratio of them, whatever its size, so an array holds them.
@@ -31,27 +44,27 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RAT
     rows = pages.select(null_safe(site).alias("__site"), text.alias("__text"))
     totals = rows.groupBy("__site").agg(F.count(F.lit(1)).alias("__total"))
     lines = rows.select("__site", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("__text")), lambda x: x.rlike(f"(?!{SPACE})[\\s\\S]")), _mark))).alias("__mark"))
-    counts = lines.groupBy("__site", "__mark").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
+    counts = lines.groupBy("__site", "__mark").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
     totals = checkpoint(totals)
     totals = small_or_not(totals, F.length("__site") + 24)
     return (
         counts.join(totals, "__site")
-        .filter(F.col("__n") > F.lit(ratio) * F.col("__total"))
+        .filter(F.col("__n") - 1 > F.lit(ratio) * (F.col("__total") - 1))
         .groupBy("__site")
         .agg(F.sort_array(F.collect_set("__mark")).alias("__marks"))
     )
 
 
-def remove_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def remove_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO) -> DataFrame:
     """pages with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
-    Lines are split at \\n and compared as they stand; a line goes from every page of a site if more than ``ratio``
-    of that site's pages, and at least ``min_pages``, have it. Lines of white space alone are never dropped.
+    Lines are split at \\n and compared as they stand; a line of n of a site's N pages goes from all of them if
+    n - 1 > ratio * (N - 1). Lines of white space alone are never dropped.
     Null sites form one site. Null or empty texts are one empty line and stay as they are; repeated rows each count
     as a page; an empty table stays empty. Other columns pass through; input columns named n_lines, n_dropped are
     replaced.
     """
-    found = checkpoint(boilerplate(pages, F.col(site), F.col(text), ratio, min_pages))
+    found = checkpoint(boilerplate(pages, F.col(site), F.col(text), ratio))
     found = small_or_not(found, F.length("__site") + 16 * F.size("__marks") + 32)
     keep = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     joined = pages.select(*keep, null_safe(F.col(site)).alias("__site")).join(found, "__site", "left")

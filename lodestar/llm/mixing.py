@@ -14,8 +14,8 @@ from lodestar.llm.common import SPACE, WORD, checkpoint, n_words, null_safe
 
 #: Production parameters: weights of the sources in the order of their names, and how often a source may be repeated.
 WEIGHTS, REPEATS = (5, 2, 1), 3
-#: The mix has about so many slots, whatever its size.
-SLOTS = 1 << 18
+#: Words of a block, and so of a slot.
+BLOCK = 256
 #: Rows of a running total's bucket, and cells that the unit interval is cut into to look points up.
 BUCKET, CELLS = 4096, 4096
 GOLDEN = 0.6180339887498949
@@ -71,13 +71,13 @@ class Mix:
     order is by hashes of ids and texts.
     """
 
-    def __init__(self, rows: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, light: bool = False):
+    def __init__(self, rows: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, light: bool = False, block: int = BLOCK):
         spark = rows.sparkSession
         narrow = checkpoint(rows if light else rows.select(F.col(source), "__source", "__size", "__key"))
         sums = narrow.groupBy("__source").agg(F.first(source).alias("source"), F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n"))
         sums = checkpoint(sums)
-        n, total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        self.block = max(1, -(-total // SLOTS))
+        n = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.block = block
         self.sources = checkpoint(targets(sums.drop("n"), weights, repeats))
         buckets = -(-n // BUCKET)
         bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / 2**32 * buckets)

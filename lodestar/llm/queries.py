@@ -12,9 +12,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestar.llm.line_dedup import remove_boilerplate
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.line_dedup import html_lines, remove_boilerplate
+    from lodestar.llm.url_filter import host_of
 
-    return remove_boilerplate(_documents(spark, sf_dir).select("doc_id", "source", "text"), "source").select("doc_id", "n_lines", "n_dropped", "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    return remove_boilerplate(pages, "host").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +34,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sized(_documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "source", "__size", "__source", "__key")
     m = Mix(rows, light=True)
-    taken = m.taken().groupBy("__source", "__start").agg(F.sum("words").alias("taken"))
+    taken = m.taken().groupBy("__source", "__start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     # rows without words share their start with the next row
-    taken = taken.select(F.col("__source").alias("__s"), F.col("__start").alias("__at"), "taken")
+    taken = taken.select(F.col("__source").alias("__s"), F.col("__start").alias("__at"), "taken", "first_slot")
     out = m.placed.join(taken, (F.col("__source") == F.col("__s")) & (F.col("__start") == F.col("__at")) & (F.col("__size") > 0), "left")
-    out = out.select("doc_id", F.col("__size").alias("size"), F.col("__source").alias("__s"), F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = out.select("doc_id", F.col("__size").alias("size"), F.col("__source").alias("__s"), F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
     per = m.sources.select(F.col("__source").alias("__s"), F.col("size").alias("source_size"), "target")
-    return out.join(per, "__s").select("doc_id", "size", "source_size", "target", "taken")
+    return out.join(per, "__s").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +125,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL: dict[str, str] = {}
 
 SQL["op1_line_dedup"] = """
-WITH l AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-     u AS (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS line FROM l),
-     c AS (SELECT source, line, count(*) AS n FROM u GROUP BY ALL),
-     t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-     b AS (SELECT c.source, list(line) AS marks FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-           WHERE n >= 3 AND n > 0.1::DOUBLE * total GROUP BY c.source),
-     k AS (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(marks, []), x)) AS kept
-           FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+WITH a AS (SELECT page_id, nullif(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+             regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+     b AS (SELECT page_id, host, regexp_replace(t, '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(10), 'g') AS t FROM a),
+     c AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '<[!/?A-Za-z][^>]*>', '', 'g'), '[\\x20\\t\\r\\f\\x0B]*\\n[\\x20\\t\\r\\n\\f\\x0B]*', chr(10), 'g') AS t FROM b),
+     l AS (SELECT page_id, host, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM (SELECT page_id, host, regexp_replace(t, '^\\n|\\n$', '', 'g') AS text FROM c)),
+     u AS (SELECT host, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS line FROM l),
+     n AS (SELECT host, line, count(*) AS n FROM u GROUP BY ALL),
+     s AS (SELECT host, count(*) AS total FROM l GROUP BY host),
+     m AS (SELECT n.host, list(line) AS marks FROM n JOIN s ON n.host IS NOT DISTINCT FROM s.host WHERE n - 1 > 0.1::DOUBLE * (total - 1) GROUP BY n.host),
+     k AS (SELECT l.*, list_filter(lines, lambda x: NOT list_contains(coalesce(marks, []), x)) AS kept FROM l LEFT JOIN m ON l.host IS NOT DISTINCT FROM m.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
        CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text
 FROM k
 """
@@ -143,10 +149,19 @@ o AS (SELECT *, sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY n / w, sourc
 l AS (SELECT rest, ws FROM o WHERE NOT 3 * n * ws < w * rest ORDER BY i LIMIT 1),
 t AS (SELECT o.source, o.n, CASE WHEN 3 * o.n * o.ws < o.w * o.rest THEN (3 * o.n)::DOUBLE ELSE (o.w * l.rest)::DOUBLE / l.ws::DOUBLE END AS target FROM o LEFT JOIN l ON true),
 p AS (SELECT d.*, t.n, t.target, round(t.target)::BIGINT AS words,
-             sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, n AS source_size, target,
-       (CASE WHEN n = 0 THEN 0 ELSE words // n * size + least(greatest(words % n - start, 0), size) END)::BIGINT AS taken
-FROM p
+             sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS MATERIALIZED (SELECT coalesce('v' || source, 'n') AS s, target, (n + 255) // 256 AS blocks, CASE WHEN n > 0 THEN round(target)::BIGINT // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN round(target)::BIGINT % n ELSE 0 END AS over FROM t),
+e AS MATERIALIZED (SELECT *, passes * blocks + (over + 255) // 256 AS slots, sum(target) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, greatest(sum(target) OVER (), 1e-9) AS everything FROM c),
+g AS (SELECT i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE % 1.0::DOUBLE AS u FROM range((SELECT sum(slots)::BIGINT FROM e)) r(i)),
+h AS (SELECT slot, s, slots, blocks, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS rank FROM g JOIN e ON (upto - target) / everything <= u AND u < upto / everything),
+i AS (SELECT e.s, e.slots, e.blocks, count(h.s) AS have FROM e LEFT JOIN h ON h.s = e.s AND h.rank < h.slots GROUP BY ALL),
+j AS (SELECT s, rank, slot FROM h WHERE rank < slots UNION ALL SELECT s, unnest(range(have, slots)) AS rank, (SELECT sum(slots)::BIGINT FROM e) + unnest(range(have, slots)) FROM i),
+q AS (SELECT doc_id, coalesce('v' || source, 'n') AS s, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0),
+f AS (SELECT doc_id, min(slot)::BIGINT AS first_slot FROM q JOIN e USING (s) JOIN j ON j.s = q.s AND j.rank % e.blocks = q.block
+      WHERE j.rank // e.blocks < passes OR least(start + size, (block + 1) * 256, over) > greatest(start, block * 256) GROUP BY doc_id)
+SELECT p.doc_id, size, n AS source_size, target,
+       (CASE WHEN n = 0 THEN 0 ELSE words // n * size + least(greatest(words % n - start, 0), size) END)::BIGINT AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot
+FROM p LEFT JOIN f USING (doc_id)
 """
 
 SQL["op5_url_filters"] = """
