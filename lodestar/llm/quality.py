@@ -15,7 +15,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE, checkpoint, let, null_safe, small_or_not, words
+from lodestar.llm.common import BROADCAST_BYTES, SPACE, checkpoint, let, null_safe, small_or_not, words
 
 WINDOW = 5
 #: Production parameters: share of a group the estimate rests on, the squared distance from which a row is an outlier,
@@ -161,20 +161,23 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """The model after concentration steps, until no group's determinant falls."""
-    before = None
+    """The model after concentration steps, until no group's determinant falls. A group whose doesn't keeps its model."""
+    columns = [c for c in model.columns if c != "__g"]
+    # as many groups in every round, so their size is summed once
+    few = model.count() * 400 <= BROADCAST_BYTES
+    hint = F.broadcast if few else lambda df: df
+    first = True
     while True:
         # each fit becomes a small checkpoint, so plans stay short
-        near = _distance(rows.join(small_or_not(model, F.lit(400)), "__g")).select("__g", *X, F.floor(BINS * F.log2(F.col("__d2") + 1.0)).cast("long").alias("__b"))
-        cut = small_or_not(checkpoint(_quantile(near, F.col("__b"), SUPPORT, "__cut")), F.lit(100))
-        after = checkpoint(_fit(near.join(cut, "__g").filter(F.col("__b") <= F.col("__cut"))))
-        if before is not None:
-            old = before.select("__g", F.col("__det").alias("__old"))
-            fell = checkpoint(after.join(old, "__g").filter(F.col("__det") < F.col("__old") - LESS).drop("__old"))
-            if fell.isEmpty():
-                return before
-            after = checkpoint(fell.unionByName(before.join(fell.select("__g"), "__g", "left_anti")))
-        model = before = after
+        near = _distance(rows.join(hint(model), "__g")).select("__g", *X, F.floor(BINS * F.log2(F.col("__d2") + 1.0)).cast("long").alias("__b"))
+        cut = hint(checkpoint(_quantile(near, F.col("__b"), SUPPORT, "__cut")))
+        new = _fit(near.join(cut, "__g").filter(F.col("__b") <= F.col("__cut"))).select("__g", F.struct(*columns).alias("__new"))
+        old = model.select("__g", F.struct(*columns).alias("__old"))
+        fell = F.lit(first) | (F.col("__new.__det") < F.col("__old.__det") - LESS)
+        model = checkpoint(new.join(old, "__g").select("__g", fell.alias("__fell"), F.when(fell, F.col("__new")).otherwise(F.col("__old")).alias("__fit")).select("__g", "__fell", "__fit.*"))
+        if model.filter("__fell").isEmpty():
+            return model.drop("__fell")
+        model, first = model.drop("__fell"), False
 
 
 def fit(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -187,9 +190,12 @@ def fit(stats: DataFrame, by: list[str]) -> DataFrame:
     levels = [by[:n] for n in range(len(by), -1, -1)]
     keyed = _vectors(fine, by).select(*[_key(x).alias(f"__k{i}") for i, x in enumerate(levels)], *X)
     rows = keyed.select(F.explode(F.array(*[f"__k{i}" for i in range(len(levels))])).alias("__g"), *X)
-    models = [_concentrated(rows, checkpoint(start(rows))) for start in (_first_fit, _fit)]
-    columns = [c for c in models[0].columns if c != "__g"]
-    least = functools.reduce(DataFrame.unionByName, models).groupBy("__g").agg(F.min(F.struct("__det", *[c for c in columns if c != "__det"])).alias("__fit")).select("__g", "__fit.*")
+    # both starts of a group are groups of their own, told apart by the first character
+    starts = [start(rows).withColumn("__g", F.concat(F.lit(str(n)), "__g")) for n, start in enumerate((_first_fit, _fit))]
+    both = rows.withColumn("__g", F.explode(F.array(*[F.concat(F.lit(str(n)), "__g") for n in range(len(starts))])))
+    models = _concentrated(both, checkpoint(functools.reduce(DataFrame.unionByName, starts))).withColumn("__g", F.substring("__g", 2, 1 << 20))
+    columns = [c for c in models.columns if c not in ("__g", "__det")]
+    least = models.groupBy("__g").agg(F.min(F.struct("__det", *columns)).alias("__fit")).select("__g", "__fit.*")
     # which model a group has: the first level at which it has rows enough
     sizes = checkpoint(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__size")))
     groups = stats.select(*[_key(x).alias(f"__k{i}") for i, x in enumerate(levels)]).distinct()
