@@ -58,9 +58,9 @@ def _running(rows: DataFrame, order: list[Column], value: str) -> DataFrame:
 
 
 def sized(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """docs with __size (words), __source (never null) and __key, by whose order a source is shuffled."""
+    """docs with __size (words), __source (never null) and __key, by whose order a source is shuffled; columns named so are replaced."""
     mark = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    return docs.select("*", n_words(F.col(text)).alias("__size"), null_safe(F.col(source)).alias("__source"), mark.alias("__key"))
+    return docs.select(*[c for c in docs.columns if c not in ("__size", "__source", "__key")], n_words(F.col(text)).alias("__size"), null_safe(F.col(source)).alias("__source"), mark.alias("__key"))
 
 
 class Mix:
@@ -128,9 +128,12 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: str
     Of a part only the taken words stay, with the white space between them.
     """
     columns = docs.columns
-    m = Mix(sized(docs, source, text, key), source)
+    # all but the text in a struct, so that no column clashes with those that are added
+    held = docs.select(F.struct(*[c for c in columns if c != text]).alias("__doc"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("doc_id"))
+    m = Mix(sized(held))
     parts = m.taken().groupBy("__source", "__start", "pass").agg(F.min("from").alias("__from"), F.sum("words").alias("__words"))
     rows = m.placed.filter("__size > 0").join(parts, ["__source", "__start"])
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({SPACE}*{WORD})"), 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"({SPACE}*{WORD})"), 1)
     part = F.array_join(F.slice(pieces, F.col("__from").cast("int") + 1, F.col("__words").cast("int")), "")
-    return rows.select(*[F.when(F.col("__words") == F.col("__size"), F.col(c)).otherwise(part).alias(c) if c == text else F.col(c) for c in columns])
+    taken = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part)
+    return rows.select(*[taken.alias(c) if c == text else F.col("__doc")[c].alias(c) for c in columns])

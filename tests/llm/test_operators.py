@@ -147,7 +147,8 @@ def test_run_index():
 @pytest.mark.parametrize(("length", "anchor", "most"), [(400, 64, 8192), (60, 10, 8192), (60, 10, 3)])
 def test_suffix_dedup(docs, rows, length, anchor, most):
     want = collections.Counter((r[0], *w) for r, w in zip(rows, repeated([(r[1] or "").encode() for r in rows], length), strict=True))
-    assert bag(suffix_dedup.repeated_bytes(docs, length=length, anchor=anchor, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    clash = docs.withColumn("key", F.lit("clash")).withColumn("marks", F.lit(1))
+    assert bag(suffix_dedup.repeated_bytes(clash, length=length, anchor=anchor, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_suffix_dedup_of_nothing(none):
@@ -200,6 +201,9 @@ def test_mixed_texts(docs, rows):
             assert " ".join(WORD.findall(r.text)) in " ".join(WORD.findall(texts[r.doc_id]))
     again = collections.Counter(map(tuple, mixing.mixed(docs.repartition(7)).collect()))
     assert again == collections.Counter(map(tuple, out))
+    # columns named like the operator's own pass through; equal rows are taken in either order
+    clash = mixing.mixed(docs.withColumn("__size", F.lit("clash")).withColumn("pass", F.lit(1.5)))
+    assert collections.Counter(map(tuple, clash.drop("__size", "pass").collect())) == again and clash.filter("__size = 'clash' and pass = 1.5").count() == len(out)
 
 
 # 4
