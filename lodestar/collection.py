@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
 
@@ -219,6 +219,10 @@ class Collection:
         row = self._json(self.frame.filter(F.col("id") == id)).first()
         return row and self._record(row)
 
+    def __iter__(self) -> Iterator[dict]:
+        """The records in order of insertion, one partition at a time."""
+        return map(self._record, self._json(self.frame.orderBy("seq")).toLocalIterator())
+
     def get_many(self, ids: Sequence[str]) -> list[dict | None]:
         rows = self._json(dml.get_many(self.frame, ids)).collect()
         return [self._record(r) if r.found else None for r in rows]

@@ -8,7 +8,7 @@ Models are fitted by Spark's k-means, on a sample whose size is a parameter; eve
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -106,6 +106,17 @@ class _Rows:
     def count(self) -> int:
         return 0 if self.rows is None else self.rows.count()
 
+    def stats(self) -> dict[str, Any]:
+        """The kind of index, its rows and its plain options; bytes of codes against floats where it has codes."""
+        plain = {k: v for k, v in vars(self).items() if isinstance(v, (int, float, str))}
+        books = self if hasattr(self, "compression") else getattr(self, "fine", None)
+        more = {"compression": books.compression()} if books is not None and books.books is not None else {}
+        return {"kind": type(self).__name__, "count": self.count(), **plain, **more}
+
+    def __iter__(self) -> Iterator[Any]:
+        """Rows one partition at a time, for callers that have to see them on the driver."""
+        return iter(()) if self.rows is None else self.rows.toLocalIterator()
+
 
 @dataclass
 class IVFIndex(_Rows):

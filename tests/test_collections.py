@@ -143,7 +143,7 @@ def test_plans_are_cut(spark, monkeypatch):
     c = Collection(spark, Config("c", 2))
     for i in range(7):
         c.add(f"v{i}", [i, i])
-    assert c.count() == 7 and c.frame._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 3
+    assert [r["id"] for r in c] == [f"v{i}" for i in range(7)] and c.count() == 7 and c.frame._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 3
 
 
 def test_batches_with_errors(spark):

@@ -163,6 +163,9 @@ def test_rows_of_indexes(df, make):
         index.update(df.filter("id = 70").select("id", "vector"))
     index.update(some.filter("id = 7"))
     assert index.count() == 60 and index.remove([7]).count() == 59
+    held = index.stats()
+    assert held["count"] == 59 and held["kind"] == type(index).__name__ and ("compression" in held) == ("PQ" in held["kind"])
+    assert len({r.id for r in index}) == 59
 
 
 def test_flat_and_factory(df):
