@@ -48,6 +48,30 @@ def fit_kmeans(df: DataFrame, k: int, column: str = "vector", iterations: int =
     return np.array(KMeans(k=k, maxIter=iterations, seed=seed, tol=1e-6).fit(rows).clusterCenters())
 
 
+def _lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
+    """k centroids of the rows of a bounded sample (fewer if there are fewer distinct rows), from spread-out starts."""
+    kernel, rng = get_metric("euclidean_squared").kernel, np.random.default_rng(seed)
+    distinct = np.unique(x, axis=0)
+    if len(distinct) <= k:
+        return distinct
+    c = x[rng.integers(len(x))][None, :]
+    far = kernel(x, c)[:, 0]
+    while len(c) < k:
+        total = far.sum()
+        c = np.concatenate((c, x[rng.choice(len(x), p=far / total if total > 0 else None)][None, :]))
+        far = np.minimum(far, np.maximum(kernel(x, c[-1:])[:, 0], 0))
+    for _ in range(iterations):
+        of = kernel(x, c).argmin(axis=1)
+        n = np.bincount(of, minlength=k)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, x)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        if np.allclose(new, c, atol=1e-9):
+            break
+        c = new
+    return c
+
+
 def nearest(v: Column, centroids: np.ndarray, metric: str = "euclidean", n: int = 1) -> Column:
     """The n nearest centroids of a vector, nearest first: array<int>."""
     kernel = get_metric(metric).kernel
@@ -213,15 +237,15 @@ class PQIndex(_Rows):
     rows: DataFrame | None = None
 
     def train(self, df: DataFrame, sample: int = 10_000) -> PQIndex:
-        """One k-means for each slice, on at most ``sample`` rows."""
-        rows = _sample(df, self.vector, sample, self.seed).withColumn("__v", doubles(F.col(self.vector)))
-        d = rows.select(F.size("__v")).first()
-        if d is None or d[0] % self.n_subvectors:
+        """One k-means for each slice, in numpy on about ``sample`` rows at most, which bounds what the driver holds."""
+        rows = _sample(df, self.vector, sample, self.seed).select(doubles(F.col(self.vector)).alias("v"))
+        x = np.array([r.v for r in rows.collect()])
+        if x.ndim != 2 or not len(x) or x.shape[1] % self.n_subvectors:
             raise ValidationError("the dimension must be a multiple of n_subvectors, and there must be rows")
-        width, k = d[0] // self.n_subvectors, 2**self.n_bits
+        width, k = x.shape[1] // self.n_subvectors, 2**self.n_bits
         books = np.zeros((self.n_subvectors, k, width))
         for i in range(self.n_subvectors):
-            c = fit_kmeans(rows.select(F.slice("__v", i * width + 1, width).alias("s")), k, "s", self.iterations, self.seed, sample)
+            c = _lloyd(x[:, i * width : (i + 1) * width], k, self.iterations, self.seed)
             books[i] = c[np.arange(k) % len(c)]  # spare codes repeat a centroid
         self.books = books
         return self
