@@ -199,9 +199,9 @@ def fit(stats: DataFrame, by: list[str]) -> DataFrame:
     # which model a group has: the first level at which it has rows enough
     sizes = checkpoint(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__size")))
     groups = stats.select(*[_key(x).alias(f"__k{i}") for i, x in enumerate(levels)]).distinct()
-    for i in range(len(levels)):
-        groups = groups.join(sizes.select(F.col("__g").alias(f"__k{i}"), F.col("__size").alias(f"__n{i}")), f"__k{i}", "left")
     last = len(levels) - 1
+    for i in range(last):
+        groups = groups.join(sizes.select(F.col("__g").alias(f"__k{i}"), F.col("__size").alias(f"__n{i}")), f"__k{i}", "left")
     chosen = F.coalesce(*[F.when(F.col(f"__n{i}") >= MIN_GROUP, F.col(f"__k{i}")) for i in range(last)], F.col(f"__k{last}"))
     groups = groups.select(F.col("__k0").alias("__own"), chosen.alias("__g"))
     return checkpoint(groups.join(least, "__g").drop("__g", "__det").withColumnRenamed("__own", "__g"))
