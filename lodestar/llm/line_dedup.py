@@ -13,16 +13,19 @@ from lodestar.llm.common import SPACE, checkpoint, null_safe, small_or_not
 
 #: Production parameter: a line goes if more than this share of its site's other pages has it.
 RATIO = 0.1
-#: What stands in HTML and is no text, and the tags at which a line ends.
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-BLOCKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+#: What stands in HTML and is no text, the tags at which a line ends, other tags, and white space.
+HIDDEN = r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul"
 TAG = r"<[!/?A-Za-z][^>]*>"
+BLANKS = " \t\r\f\x0b"
 
 
 def html_lines(html: Column) -> Column:
-    """The text of a page with a line for each block of it; null for null."""
-    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCKS, "\n"), TAG, "")
-    return F.regexp_replace(F.regexp_replace(shown, r"[\x20\t\r\f\x0B]*\n[\x20\t\r\n\f\x0B]*", "\n"), r"^\n|\n$", "")
+    """The text of a page, a line for each block of it without white space at its ends; null for null."""
+    cut = f"(?is){HIDDEN}|</?(?:{BLOCKS.replace(' ', '|')})\\b[^>]*>"
+    blocks = F.transform(F.split(html, cut), lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, TAG, "")).otherwise(x))
+    lines = F.flatten(F.transform(blocks, lambda x: F.split(x, "\n")))
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), "\n")
 
 
 def _lines(text: Column) -> Column:

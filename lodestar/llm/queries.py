@@ -126,10 +126,10 @@ SQL: dict[str, str] = {}
 
 SQL["op1_line_dedup"] = """
 WITH a AS (SELECT page_id, nullif(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-             regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
-     b AS (SELECT page_id, host, regexp_replace(t, '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(10), 'g') AS t FROM a),
-     c AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '<[!/?A-Za-z][^>]*>', '', 'g'), '[\\x20\\t\\r\\f\\x0B]*\\n[\\x20\\t\\r\\n\\f\\x0B]*', chr(10), 'g') AS t FROM b),
-     l AS (SELECT page_id, host, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM (SELECT page_id, host, regexp_replace(t, '^\\n|\\n$', '', 'g') AS text FROM c)),
+             regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->|</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(1), 'g') AS t FROM pages),
+     b AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '<[!/?A-Za-z][^>\\x01]*>', '', 'g'), '[\\x20\\t\\r\\f\\x0B]*[\\n\\x01][\\x20\\t\\r\\n\\f\\x0B\\x01]*', chr(10), 'g') AS t FROM a),
+     c AS (SELECT page_id, host, regexp_replace(t, '^[\\x20\\t\\r\\n\\f\\x0B]+|[\\x20\\t\\r\\n\\f\\x0B]+$', '', 'g') AS text FROM b),
+     l AS (SELECT page_id, host, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM c),
      u AS (SELECT host, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS line FROM l),
      n AS (SELECT host, line, count(*) AS n FROM u GROUP BY ALL),
      s AS (SELECT host, count(*) AS total FROM l GROUP BY host),
