@@ -165,6 +165,30 @@ def test_long_texts_in_chunks(spark):
     assert chunking.chunk_recursive(df, size=100).filter("length(chunk) > 100").count() == 0 and chunking.chunk_fixed(df).select("chunk").count() == 1934
 
 
+def recursively(text, size, separators=("\n\n", "\n", ". ", " ")):
+    parts = [text or ""]
+    for x in separators:
+        parts = [q for p in parts for q in ([p] if len(p) <= size else p.split(x))]
+    parts = [q.strip(" ") for p in parts for q in ([p] if len(p) <= size else [p[i : i + size] for i in range(0, len(p), size)])]
+    out, held = [], []
+    for p in filter(None, parts):
+        if held and len(" ".join([*held, p])) > size:
+            out.append(" ".join(held))
+            held = []
+        held.append(p)
+    return out + [" ".join(held)] * bool(held)
+
+
+def test_recursive_chunks(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(["ab", "c", " ", ". ", "\n", "\n\n", "é" * 30], p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.03, 0.02], size=300)) for _ in range(40)] + ["", None, "x" * 500, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got: dict = {}
+    for r in chunking.chunk_recursive(df, size=50).collect():
+        got.setdefault(r.id, {})[r.chunk_no] = r.chunk
+    assert {i: [c[k] for k in sorted(c)] for i, c in got.items()} == {i: w for i, t in enumerate(texts) if (w := recursively(t, 50))}
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "One two. Three four! Five?\n\nSix seven eight nine ten")], "id long, text string")
     fixed = chunking.chunk_fixed(df, size=4, overlap=1).filter("id = 1").orderBy("chunk_no").collect()
