@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.errors import DuplicateIdError, NotFoundError, ValidationError
-from lodestar.operators import search
+from lodestar.operators import blocks, search
 from lodestar.operators.index import FlatIndex, GraphIndex, IVFIndex, IVFPQIndex, PQIndex, create_index, recommend_index
 from lodestar.plans.query import Executor
 
@@ -198,3 +198,19 @@ def test_executor(df, data):
     rows = run.execute({"filter": {"label": 1}, "sort_by": "id", "order": "desc", "limit": 2, "offset": 1, "include_metadata": False}).frame
     assert rows.columns == ["id"] and [r.id for r in rows.collect()] == [391, 386]
     assert "TakeOrderedAndProject" in run.explain({"vector": data[1].tolist()})
+
+
+def test_groups_take_a_link_for_a_row(spark, monkeypatch):
+    """A cluster of 120 has 7140 pairs; each shard hands on at most a link for each row, and groups are those of all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 64)) + 10
+    x[:120] = x[0] + rng.normal(size=(120, 64)) * 1e-3
+    x[150:170] = x[150] + np.cumsum(np.full((20, 64), 0.05), axis=0)  # a chain
+    rows = spark.createDataFrame([(1000 - i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+    root = {1000 - i: 1000 - i for i in range(200)}
+    root |= dict.fromkeys(range(881, 1001), 881) | dict.fromkeys(range(831, 851), 831)
+    want = {(k, v) for k, v in root.items() if v in (881, 831)}
+    for shard, shards in ((1 << 19, 1), (64 * 50, 4)):
+        monkeypatch.setattr(blocks, "SHARD", shard)
+        assert blocks.linked(rows, search._within(0.5)).count() <= 200 * shards
+        assert {tuple(r) for r in search.duplicate_groups(rows, 0.5).collect()} == want
