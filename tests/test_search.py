@@ -1,10 +1,13 @@
 """Searches and indexes against brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.errors import DuplicateIdError, NotFoundError, ValidationError
+from lodestar.functions.metrics import get_metric
 from lodestar.operators import blocks, search
 from lodestar.operators.index import FlatIndex, GraphIndex, IVFIndex, IVFPQIndex, PQIndex, create_index, recommend_index
 from lodestar.plans.query import Executor
@@ -214,3 +217,21 @@ def test_groups_take_a_link_for_a_row(spark, monkeypatch):
         monkeypatch.setattr(blocks, "SHARD", shard)
         assert blocks.linked(rows, search._within(0.5)).count() <= 200 * shards
         assert {tuple(r) for r in search.duplicate_groups(rows, 0.5).collect()} == want
+
+
+def _refuses(q, v):
+    raise AssertionError("all pairs were measured one by one")
+
+
+def test_graph_measures_the_near_only(spark):
+    """Far from the origin, where inner products are coarse, and with copies, whose ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    for at in (0.0, 1e4):
+        x = rng.normal(size=(300, 16)) + at
+        x[200:220] = x[100]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        want = {(i, r + 1, j) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), d[i]))[:4].tolist())}
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+        got = search.knn_graph(rows, 4, replace(get_metric("euclidean"), kernel=_refuses)).collect()
+        assert {(r.query_id, r["rank"], r.id) for r in got} == want
