@@ -235,3 +235,20 @@ def test_graph_measures_the_near_only(spark):
         rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
         got = search.knn_graph(rows, 4, replace(get_metric("euclidean"), kernel=_refuses)).collect()
         assert {(r.query_id, r["rank"], r.id) for r in got} == want
+
+
+def _few(q, v):
+    assert len(q) < 60, "all totals were measured one by one"
+    return get_metric("euclidean").kernel(q, v)
+
+
+def test_medoid_measures_the_promising_only(spark):
+    rng = np.random.default_rng(5)
+    for at in (0.0, 1e4):
+        x = rng.normal(size=(300, 16)) + at
+        x[[40, 250]] = x.mean(axis=0)  # a tie
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+        got = search.medoid(rows, replace(get_metric("euclidean"), kernel=_few)).collect()
+        assert [r.id for r in got] == [40]
+        assert got[0].total == pytest.approx(np.sqrt(((x - x[40]) ** 2).sum(-1)).sum(), rel=1e-12)
+    assert search.medoid(rows.filter("false")).collect() == []
