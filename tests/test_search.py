@@ -252,3 +252,16 @@ def test_medoid_measures_the_promising_only(spark):
         assert [r.id for r in got] == [40]
         assert got[0].total == pytest.approx(np.sqrt(((x - x[40]) ** 2).sum(-1)).sum(), rel=1e-12)
     assert search.medoid(rows.filter("false")).collect() == []
+
+
+def _rerank_by_shard(index, df, monkeypatch):
+    """Codes of one bit say little; as each shard's candidates are measured, recall holds over any number of shards."""
+    want = {(r.query_id, r.id) for r in search.knn_batch(df, df.filter("id % 20 = 0"), 10).collect()}
+    monkeypatch.setattr(blocks, "SHARD", 12 * 8)
+    found = index.train(df).add(df).search(df.filter("id % 20 = 0"), 10, vectors=df, rerank=2).collect()
+    assert len(found) == len(want)
+    assert len(want & {(r.query_id, r.id) for r in found}) >= 0.95 * len(want)
+
+
+def test_pq_candidates_grow_with_shards(df, monkeypatch):
+    _rerank_by_shard(PQIndex(n_subvectors=4, n_bits=1), df, monkeypatch)
