@@ -265,3 +265,7 @@ def _rerank_by_shard(index, df, monkeypatch):
 
 def test_pq_candidates_grow_with_shards(df, monkeypatch):
     _rerank_by_shard(PQIndex(n_subvectors=4, n_bits=1), df, monkeypatch)
+
+
+def test_ivfpq_candidates_grow_with_shards(df, monkeypatch):
+    _rerank_by_shard(IVFPQIndex(n_clusters=4, n_probe=4, n_subvectors=4, n_bits=1), df, monkeypatch)
