@@ -269,3 +269,13 @@ def test_pq_candidates_grow_with_shards(df, monkeypatch):
 
 def test_ivfpq_candidates_grow_with_shards(df, monkeypatch):
     _rerank_by_shard(IVFPQIndex(n_clusters=4, n_probe=4, n_subvectors=4, n_bits=1), df, monkeypatch)
+
+
+def test_walks_widen_until_they_agree(spark):
+    """A sparse graph in many dimensions, where walks that keep ten nodes miss about half of the neighbours."""
+    x = np.random.default_rng(6).normal(size=(800, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+    asked = rows.filter("id % 10 = 0")
+    want = {(r.query_id, r.id) for r in search.knn_batch(rows, asked, 10).collect()}
+    found = GraphIndex(m=4, ef_construction=8, ef_search=10).train(rows).add(rows).search(asked, 10).collect()
+    assert len(want & {(r.query_id, r.id) for r in found}) >= 0.95 * len(want)
